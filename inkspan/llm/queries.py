@@ -47,8 +47,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("base"), k.name).alias(f"n_{k.name}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_byte_bpe, op5_simhash, op8_substring_dedup]
+    found = [op3_byte_bpe, op5_simhash, op8_substring_dedup, op9_source_mix, op10_pii]
     return {f.__name__: f for f in found}
 
 
