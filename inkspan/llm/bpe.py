@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import chunk_id, expand, pack_table, partitions_for, small_batches, squeeze, stage_bucketed, unpack_table
+from inkspan.llm.common import chunk_id, copy_rows, expand, pack_table, partitions_for, small_batches, squeeze, stage_bucketed, unpack_table
 
 CHUNK_CHARS = 16_000_000
-BUCKET_WORDS = 400_000
+BUCKET_WORDS = 250_000
 #: Characters on which ``re`` and the tokenizer's own pattern language may differ in their classes; a text that has any is split by ``regex``.
 _UNSURE = re.compile("[\x1c-\x1f²³¹¼-¾]|[^\x00-ɏ‐-‧‰-⁞]")
 
@@ -102,12 +103,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk_chars: int) -
             lengths.append(len(words))
             chars += len(text.as_py() or "")
             if chars >= chunk_chars:
-                kept.append(rest.slice(start, i + 1 - start))
+                kept.append(copy_rows(rest, start, i + 1))
                 start = i + 1
                 yield flush()
                 kept, lengths, numbers, known, chars = [], [], [], {}, 0
         if start < batch.num_rows:
-            kept.append(rest.slice(start))
+            kept.append(copy_rows(rest, start, batch.num_rows))
     if lengths:
         yield flush()
 
@@ -135,10 +136,11 @@ def _encode_bucket(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str
             ids = []
             for w in table.column("w").to_pylist():
                 if w not in done:
-                    done[w] = encode(w)
+                    own = encode(w)
+                    done[w] = struct.pack(f"<{len(own)}I", *own)
                 ids.append(done[w])
-            lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
+            lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
             yield pa.RecordBatch.from_pydict({"chunk": [chunk], "i": pa.array([_planes(table.column("i").to_numpy())], pa.binary()), "n": pa.array([_planes(lengths)], pa.binary()), "ids": pa.array([_planes(flat)], pa.binary())})
 
 
@@ -152,16 +154,16 @@ def _reassemble(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     first[at] = np.cumsum(lengths, dtype=np.int64) - lengths
     n = docs.column("\0n").to_numpy()
     ends = np.cumsum(n)
-    values, totals = [], []
+    totals = np.add.reduceat(np.append(count[seq], 0), np.minimum(ends - n, len(seq))) * (n > 0) if len(n) else n
+    offsets = np.concatenate([[0], np.cumsum(totals)])
+    flat = np.empty(offsets[-1], "<u4")
     for k, end in enumerate(ends):
         own = seq[end - n[k] : end]
         c = count[own]
-        total = int(c.sum())
-        flat = np.arange(total) + np.repeat(first[own] - (np.cumsum(c) - c), c)
-        values.append(ids[flat].astype("<u4").tobytes())
-        totals.append(total)
+        flat[offsets[k] : offsets[k + 1]] = ids[np.arange(totals[k]) + np.repeat(first[own] - (np.cumsum(c) - c), c)]
+    values = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * offsets).astype("<i4")), pa.py_buffer(flat)])
     columns = [docs.column(x) for x in range(docs.num_columns - 1)]
-    return pa.table([*columns, pa.array(totals, pa.int64()), pa.array(values, pa.binary())], names=names)
+    return pa.table([*columns, pa.array(totals, pa.int64()), values], names=names)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
