@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,18 @@ def vocabulary(name: str = VOCABULARY) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.quality import COUNTS, assess
+
+    return assess(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -34,12 +46,30 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ~held_out(F.col("doc_id")))
+    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.windows import remove_repeats
 
@@ -62,7 +92,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_byte_bpe, op5_simhash, op8_substring_dedup, op9_source_mix, op10_pii]
+    found = [op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_language_id, op5_simhash, op6_html_text, op8_substring_dedup, op9_source_mix, op10_pii]
     return {f.__name__: f for f in found}
 
 
