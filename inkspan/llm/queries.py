@@ -70,6 +70,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.neighbors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.windows import remove_repeats
 
@@ -92,9 +98,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_language_id, op5_simhash, op6_html_text, op8_substring_dedup, op9_source_mix, op10_pii]
+    found = [op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_language_id, op5_simhash, op6_html_text, op7_embedding_dedup, op8_substring_dedup, op9_source_mix, op10_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from inkspan.llm import oracles
+
+    return {"op2_quality_rules": oracles.OP2, "op9_source_mix": oracles.OP9}
