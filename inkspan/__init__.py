@@ -1,0 +1 @@
+"""A PySpark-native document-analytics engine for invoices and receipts."""

@@ -1,0 +1 @@
+"""Column builders: pure expressions over built-in functions, one module a subject."""
