@@ -26,13 +26,16 @@ def parse_extraction(raw: Column) -> Column:
     """struct(value, valid): the extraction in a JSON text, and whether it is JSON of the schema with all that is required."""
     with_bad = EXTRACTION.jsonValue()
     schema = type(EXTRACTION).fromJson({**with_bad, "fields": [*with_bad["fields"], {"name": "_bad", "type": "string", "nullable": True, "metadata": {}}]})
-    read = F.from_json(raw, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    value = F.struct(*(read[f.name].alias(f.name) for f in EXTRACTION.fields))
-    there = read["_bad"].isNull() & raw.isNotNull() & read["items"].isNotNull() & F.forall(read["items"], lambda x: x["item_desc"].isNotNull())
-    for path in REQUIRED:
-        part, name = path.split(".")
-        there = there & read[part][name].isNotNull()
-    return F.struct(value.alias("value"), F.coalesce(there, F.lit(False)).alias("valid"))
+
+    def judge(read: Column) -> Column:
+        value = F.struct(*(read[f.name].alias(f.name) for f in EXTRACTION.fields))
+        there = read["_bad"].isNull() & read["items"].isNotNull() & F.forall(read["items"], lambda x: x["item_desc"].isNotNull())
+        for path in REQUIRED:
+            part, name = path.split(".")
+            there = there & read[part][name].isNotNull()
+        return F.struct(value.alias("value"), F.coalesce(there, F.lit(False)).alias("valid"))
+
+    return let(F.from_json(raw, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), judge)
 
 
 def is_valid(extraction: Column) -> Column:
