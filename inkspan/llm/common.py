@@ -68,8 +68,11 @@ def stage_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, per_partition: int) -> int:
-    """How many partitions of per_partition input bytes the optimiser's size estimate of df asks for."""
+    """How many partitions of per_partition input bytes the optimiser's size estimate of df asks for; the session's number of
+    shuffle partitions where it has none (rows that come from Python, say, count as 8 EB)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 58:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(min(20_000, max(8, -(-size // per_partition))))
 
 
