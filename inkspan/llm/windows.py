@@ -199,7 +199,7 @@ def remove_repeats(df: DataFrame, size: int = 35, text: str = "text", keep: tupl
     one space): every word is removed that a window of size words covers whose words also begin anywhere else."""
     small_batches(df.sparkSession)
     source = df.select(*(df[c].alias(f"k{i}") for i, c in enumerate(keep)), df[text].alias("text"))
-    chunks = stage_bucketed(source.mapInArrow(partial(_chunks, size=size, chunk_bytes=chunk_bytes), "chunk long, n_windows long, docs binary"), "chunk", partitions_for(source, 16 << 20))
+    chunks = stage_bucketed(source.mapInArrow(partial(_chunks, size=size, chunk_bytes=chunk_bytes), "chunk long, n_windows long, docs binary"), "chunk", partitions_for(source, 4 << 20))
     buckets = max(1, -(-(chunks.agg(F.sum("n_windows")).first()[0] or 0) // BUCKET_WINDOWS))
     hashes = chunks.select("chunk", "docs").mapInArrow(partial(_hashes, size=size, buckets=buckets), "bucket int, chunk long, hashes binary")
     shared = hashes.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "chunk long, hashes binary")
