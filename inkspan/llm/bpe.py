@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 3): each distinct pre-token of the whole corpus is encoded once.
 
-The plan is a global distinct-word shuffle, with its rows packed. A task turns its documents into chunks of some 16 million
+The plan is a global distinct-word shuffle, with its rows packed. A task turns its documents into chunks of some 12 million
 characters: the pre-tokens by position as numbers into the chunk's list of distinct pre-tokens. The lists are exploded over
 buckets of the pre-token's hash; the task of a bucket sees every chunk's mention of a pre-token, encodes it once, and sends the
 ids back to the chunks; there the documents are put together again by position. The sequences by position never move: the
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from inkspan.llm.common import chunk_id, copy_rows, expand, pack_table, partitions_for, small_batches, squeeze, stage_bucketed, unpack_table
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 BUCKET_WORDS = 250_000
 #: Characters on which ``re`` and the tokenizer's own pattern language may differ in their classes; a text that has any is split by ``regex``.
 _UNSURE = re.compile("[\x1c-\x1f²³¹¼-¾]|[^\x00-ɏ‐-‧‰-⁞]")
@@ -173,7 +173,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
     source = df.select(*(df[c].alias(f"k{i}") for i, c in enumerate(keep)), df[text].alias("text"))
     kept = source.schema.fields[:-1]
     chunk_schema = "chunk long, n_words long, docs binary, seq binary, words binary"
-    chunks = stage_bucketed(source.mapInArrow(partial(_chunks, pattern=pattern, chunk_chars=chunk_chars), chunk_schema), "chunk", partitions_for(source, 16 << 20))
+    chunks = stage_bucketed(source.mapInArrow(partial(_chunks, pattern=pattern, chunk_chars=chunk_chars), chunk_schema), "chunk", partitions_for(source, 4 << 20))
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-words // BUCKET_WORDS))
     mentions = chunks.select("chunk", "words").mapInArrow(partial(_mentions, buckets=buckets), "bucket int, chunk long, part binary")
