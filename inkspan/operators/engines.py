@@ -130,10 +130,14 @@ def _offline(**_) -> Callable[[str, str], str]:
 EXTRACTORS: dict[str, Callable[..., Callable[[str, str], str]]] = {"labels": _offline, "ollama": _ollama, "gemini": _gemini}
 
 
-def extractor(name: str, **settings) -> Callable[[str, str], str]:
+def maker(name: str) -> Callable[..., Callable[[str, str], str]]:
     if name not in EXTRACTORS:
         raise ValueError(f"unknown extractor: {name}")
-    return EXTRACTORS[name](**settings)
+    return EXTRACTORS[name]
+
+
+def extractor(name: str, **settings) -> Callable[[str, str], str]:
+    return maker(name)(**settings)
 
 
 def _answer(ask: Callable[[str, str], str], user: str, said: str | None = None, why: str | None = None) -> tuple[str | None, str | None]:
@@ -150,18 +154,19 @@ def _answer(ask: Callable[[str, str], str], user: str, said: str | None = None,
 def extract(df: DataFrame, name: str = "labels", ocr: str = "ocr_output", **settings) -> DataFrame:
     """Adds extraction (null if none is valid) and extraction_error (transient: the service was not reached; persistent: no valid answer after one repair; else
     null). Only rows whose first answer is not valid are asked again."""
-    extractor(name, **settings)  # an unknown name or a missing key shows now
+    make = maker(name)  # looked up here, so that one registered on the driver is known in the workers
+    make(**settings)  # an unknown name or a missing key shows now
     pair = T.StructType([T.StructField("said", T.StringType()), T.StructField("error", T.StringType())])
 
     @pandas_udf(pair)
     def first(users: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ask = extractor(name, **settings)
+        ask = make(**settings)
         for batch in users:
             yield pd.DataFrame([_answer(ask, u) for u in batch], columns=["said", "error"])
 
     @pandas_udf(pair)
     def second(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        ask = extractor(name, **settings)
+        ask = make(**settings)
         for users, said in batches:
             rows = [(None, None) if u is None else _answer(ask, u, s, "it does not follow the schema") for u, s in zip(users, said, strict=True)]
             yield pd.DataFrame([(a, "persistent" if e else None) for a, e in rows], columns=["said", "error"])

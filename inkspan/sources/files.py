@@ -25,7 +25,7 @@ def decoded(spark: SparkSession, folder: str, drop_invalid: bool = True) -> Data
 
 def truths(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, truth): whole text files."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).select("value", F.input_file_name().alias("path"))
+    read = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select("value", F.input_file_name().alias("path"))
     return _named(read).select("stem", F.col("value").alias("truth"))
 
 
