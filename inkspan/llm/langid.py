@@ -77,9 +77,11 @@ def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 300)
     """A linear machine with squared hinge loss by accelerated gradient descent, classes weighed equally; y is 1 or -1. The last weight is
     the offset."""
     x = np.hstack([x, np.full((len(x), 1), 0.1, np.float32)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = look = np.zeros(x.shape[1])
-    rate = 1 / (2 * 1.01 + strength)
+    # all in single precision: one double among them has the whole matrix converted at every step
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    y = y.astype(np.float32)
+    w = look = np.zeros(x.shape[1], np.float32)
+    rate = float(1 / (2 * 1.01 + strength))
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ look))
         step = look - rate * (strength * look - 2 * (x.T @ (weight * y * slack)))
