@@ -47,3 +47,58 @@ p AS (SELECT d.doc_id, d.size, source_size, target, coalesce(sum(size) OVER (PAR
   CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - start)))::BIGINT AS taken FROM p
 """
+
+
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '', 'g')"
+
+
+def _luhn(v: str) -> str:
+    d = _digits(v)
+    worth = f"CASE WHEN i % 2 = 1 THEN substr({d}, len({d}) - i + 1, 1)::INT ELSE (substr({d}, len({d}) - i + 1, 1)::INT * 2 // 10) + (substr({d}, len({d}) - i + 1, 1)::INT * 2 % 10) END"
+    return f"list_sum(list_transform(range(1, len({d}) + 1), lambda i: {worth})) % 10 = 0"
+
+
+def _mod97(v: str) -> str:
+    bare = f"regexp_replace({v}, '[^0-9A-Z]', '', 'g')"
+    values = f"list_transform(string_split(substr({bare}, 5) || left({bare}, 4), ''), lambda c: coalesce(try_cast(c AS INT), ascii(c) - 55))"
+    return f"list_reduce(list_concat([0], {values}), lambda a, x: (CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1"
+
+
+def _kind(name: str, order: int, pattern: str, check: str, before: str = "", after: str = "", context: str = "") -> str:
+    """Spans (row, o, kind, a, b) of a kind. RE2 has no look-around: what may not stand before a span is matched with it and cut off, what may not
+    stand after it is tested."""
+    led = f"(?:^|{before})(?:{pattern})" if before else pattern
+    body = f"regexp_replace(v, '^{before}', '')" if before else "v"
+    near = f"AND regexp_matches(substr(t, greatest(a - 50, 0) + 1, (a - greatest(a - 50, 0))::INT) || ' ' || substr(t, b + 1, 50), '(?i)\\b(?:{context})\\b')" if context else ""
+    follow = f"AND NOT regexp_matches(substr(t, b + 1, 2), '^{after}')" if after else ""
+    return f"""{name}_m AS (SELECT row, t, regexp_extract_all(t, '{led}') AS ms, string_split_regex(t, '{led}') AS ps FROM d WHERE regexp_matches(t, '{led}')),
+{name}_u AS (SELECT row, t, unnest(ms) AS v, unnest(list_slice(ps, 1, len(ms))) AS p, unnest(range(len(ms))) AS i FROM {name}_m),
+{name}_e AS (SELECT row, t, {body} AS v, (sum(length(p) + length(v)) OVER (PARTITION BY row ORDER BY i))::BIGINT AS b FROM {name}_u),
+{name}_s AS (SELECT row, {order} AS o, '{name}' AS kind, a, b FROM (SELECT *, b - length(v) AS a FROM {name}_e) WHERE ({check}) {follow} {near})"""
+
+
+_PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
+_KINDS = (
+    ("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", 2, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(v, '{_PART}(\.{_PART}){{3}}')"),
+    ("card", 3, r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({_digits('v')}) BETWEEN 16 AND 19 THEN {_luhn('v')} ELSE false END"),
+    ("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_digits('v')}) BETWEEN 8 AND 15"),
+    ("iban", 5, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}", f"CASE WHEN len(replace(v, ' ', '')) BETWEEN 15 AND 34 THEN {_mod97('v')} ELSE false END", "[^A-Za-z0-9]", "[A-Za-z0-9]"),
+    ("short_card", 6, r"[0-9](?:[\x20-]?[0-9]){12,14}", _luhn("v"), "[^0-9]", r"[\x20-]?[0-9]", "card|amex|credit|debit"),
+    ("ssn", 7, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "true", "[^0-9-]", "[0-9-]", "ssn|social security"),
+    ("local_phone", 8, r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}", "true", "[^0-9+(-]", "[0-9-]", "phone|tel|call|fax|mobile"),
+    ("access_key", 9, "AKIA[0-9A-Z]{16}", "true", "[^A-Z0-9]", "[A-Z0-9]"),
+)
+
+#: All kinds of spans, by kind, then place.
+OP10 = (
+    "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),\n"
+    + ",\n".join(_kind(*k) for k in _KINDS)
+    + ",\ns AS ("
+    + " UNION ALL ".join(f"SELECT * FROM {k[0]}_s" for k in _KINDS)
+    + """),
+g AS (SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) FILTER (o < 5) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) AS spans FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"""
+)
