@@ -82,7 +82,7 @@ def sql(name: str, duck: bool = False) -> str:
         return f"SELECT l_orderkey, l_linenumber, {_money('cast(round(l_extendedprice * 100) as bigint)', '(l_orderkey % 4)')} AS item_net_worth, l_extendedprice FROM {t['lineitem']}"
     if name == "pixels":  # 16 by 16 pictures, a background of one level and a darker pattern
         return f"""SELECT p_partkey, cast({div('k', 16)} as int) AS y, cast(k % 16 as int) AS x, cast(CASE WHEN (p_partkey + k) % 7 = 0 THEN (p_partkey * 31 + k * 17) % 256 ELSE 200 + p_partkey % 50 END as int) AS v
-          FROM {t['part']}, ({"SELECT unnest(range(256)) AS k" if duck else "SELECT id AS k FROM range(256)"}) g"""
+          FROM (SELECT p_partkey, {"unnest(range(256))" if duck else "explode(sequence(0, 255))"} AS k FROM {t['part']}) g"""
     if name == "image_features":
         f = lambda a, m, s: f"cast((p_partkey * {a}) % {m} as double) / cast({s} as double)"
         return f"SELECT p_partkey, {f(37, 700, 1)} AS sharpness, {f(53, 260, 1)} AS contrast, {f(29, 256, 1)} AS brightness, {f(41, 400, 10)} AS noise_snr, {f(61, 120, 1000)} AS edge_density, {f(43, 500, 20)} AS bg_std, {f(59, 256, 1)} AS bg_mean FROM {t['part']}"
