@@ -37,19 +37,27 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 _NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adbox|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|search|share|sharing|social|sidebars?|side-?bar|widgets?|menus?|nav|navbar|navigation|navi|breadcrumbs?|pagination|pager|toc|footers?|headers?|masthead|topbar|related|recommended|recommendations|comments?|commentlist|replies|reply|respond|disqus|reviews?|complementary|contentinfo|tags?|byline)(?:$|[^a-z])")
 
 
-def _named_away(attributes: str) -> bool:
+#: Words before a name that say what a page has or lacks, not what the element is; and what names a comment that is an article of its own.
+_SAYS = re.compile(r"(?:has|have|with|without|no|not|is|hide|hidden|show)[-_]")
+_COMMENT = re.compile(r"(?:.*[-_])?(?:comment|reply)(?:[-_].*)?$")
+
+
+def _named_away(attributes: str, core: bool = False) -> bool:
+    """Whether an element's attributes name something else than the article; of an article or main element, whether they name a comment."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and _NAMES.search(value):
+        words = [w for w in value.split() if not _SAYS.match(w)] if name in ("class", "id", "role") else []
+        if any(_COMMENT.match(w) if core else _NAMES.search(w) for w in words):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, float, int]]:
-    """(text, share of it in links, number of the article or main element around it, 0 for none). Gaps are empty texts."""
+def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
+    """(text, share of it in links, number of the article or main element around it, 0 for none). Gaps are empty texts. names: roles, classes and
+    ids count, beside elements."""
     out: list[tuple[str, float, int]] = []
     held: list[str] = []
     stack: list[str] = []
@@ -112,7 +120,7 @@ def lines_of(page: str) -> list[tuple[str, float, int]]:
                     close()
                 away = 0  # an element left open before the article does not swallow it
                 stack.append(tag)
-                if not _named_away(m[3]):
+                if not (names and _named_away(m[3], core=True)):
                     gap()
                     cores += 1
                     core = len(stack)
@@ -127,7 +135,7 @@ def lines_of(page: str) -> list[tuple[str, float, int]]:
         if tag not in INLINE and not away:
             close()
         stack.append(tag)
-        if not away and tag not in ("html", "body") and (tag in CHROME or _named_away(m[3])):
+        if not away and tag not in ("html", "body") and (tag in CHROME or names and _named_away(m[3])):
             gap()
             away = len(stack)
         if tag == "a" and not link:
@@ -140,7 +148,11 @@ def lines_of(page: str) -> list[tuple[str, float, int]]:
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
+    """Where names leave nothing, as on a page whose outermost element has an odd one, only elements count."""
+    return _between(lines_of(page or "")) or _between(lines_of(page or "", names=False))
+
+
+def _between(lines: list[tuple[str, float, int]]) -> str:
     by_core: dict[int, int] = {}
     for text, _, core in lines:
         if core:

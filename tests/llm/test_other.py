@@ -71,6 +71,8 @@ PAGES = {
     "<html><head><title>t</title><style>p{}</style></head><body><header>h</header><main><p>Text&#233;</p><script>var a='</p>';</script><aside>no</aside><p>more&nbsp;of it</p></main></body></html>": "Texté more of it",
     "<div><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul></div><div><p>The story of the day is long enough.</p><p>It goes on.</p></div><div id='comments'><p>first!</p></div>": "The story of the day is long enough. It goes on.",
     "<article><p>a</p><div class='related-posts widget'>see</div><p>b</p><form>f<input></form><section class='comments'>c</section></article>": "a b",
+    "<div class='page has-sidebar'><article class='post no-comments review'><p>kept</p></article><article class='comment-body'><p>a far longer comment than the text</p></article></div>": "kept",
+    "<div id='banner'><p>all there is</p><nav>menu</nav></div>": "all there is",
     "plain text only": "plain text only",
     "<nav>unclosed <article><p>kept</p></article>": "kept",
     "<p>a < b and <b>c</b>": "a < b and c",
