@@ -61,8 +61,9 @@ def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
     out: list[tuple[str, float, int]] = []
     held: list[str] = []
     stack: list[str] = []
+    open_: dict[str, int] = {}  # how often each name is on the stack, so that a stray end tag costs no search
     away = core = cores = link = 0  # depth of the stack at the outermost element of the kind; 0: outside
-    at, linked, raw_until, lower = 0, 0, "", None
+    at, linked, lower = 0, 0, None
 
     def close() -> None:
         nonlocal held, linked
@@ -77,6 +78,8 @@ def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
 
     def drop_to(depth: int) -> None:
         nonlocal away, core, link
+        for name in stack[depth:]:
+            open_[name] -= 1
         del stack[depth:]
         if away > depth:
             away = 0
@@ -100,8 +103,10 @@ def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
         if not tag:
             continue
         if m[1]:
-            if tag in stack:
-                depth = len(stack) - 1 - stack[::-1].index(tag)
+            if open_.get(tag):
+                depth = len(stack) - 1
+                while stack[depth] != tag:
+                    depth -= 1
                 if tag not in INLINE and not away:
                     close()
                 drop_to(depth)
@@ -120,6 +125,7 @@ def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
                     close()
                 away = 0  # an element left open before the article does not swallow it
                 stack.append(tag)
+                open_[tag] = open_.get(tag, 0) + 1
                 if not (names and _named_away(m[3], core=True)):
                     gap()
                     cores += 1
@@ -135,6 +141,7 @@ def lines_of(page: str, names: bool = True) -> list[tuple[str, float, int]]:
         if tag not in INLINE and not away:
             close()
         stack.append(tag)
+        open_[tag] = open_.get(tag, 0) + 1
         if not away and tag not in ("html", "body") and (tag in CHROME or names and _named_away(m[3])):
             gap()
             away = len(stack)

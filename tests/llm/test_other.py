@@ -96,6 +96,11 @@ def test_long_page(spark):
     assert html.main_text(page) == " ".join(f"par {i} of many" for i in range(20_000))
 
 
+def test_long_unclosed_page():
+    page = "<article>" + "".join(f"<p><b>par {i}<br></i>" for i in range(50_000)) + "</article><footer>no</footer>"
+    assert html.main_text(page) == " ".join(f"par {i}" for i in range(50_000))
+
+
 # 7 embeddings
 
 
