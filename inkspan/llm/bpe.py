@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import chunk_id, copy_rows, expand, pack_table, partitions_for, small_batches, squeeze, stage_bucketed, unpack_table
+from inkspan.llm.common import chunk_id, copy_rows, expand, give_back, pack_table, partitions_for, small_batches, squeeze, stage_bucketed, tidy, unpack_table
 
 CHUNK_CHARS = 12_000_000
 BUCKET_WORDS = 250_000
@@ -80,6 +80,7 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+@tidy
 def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk_chars: int) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []
     lengths: list[int] = []
@@ -113,6 +114,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk_chars: int) -
         yield flush()
 
 
+@tidy
 def _mentions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each chunk's list, the part of each bucket."""
     for batch in batches:
@@ -127,6 +129,7 @@ def _mentions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "chunk": [chunk], "part": pa.array([part], pa.binary())})
 
 
+@tidy
 def _encode_bucket(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
     """One task, one bucket: all mentions of its words meet here, so each is encoded once."""
     encode, done = _encoder(ranks, pattern), {}
@@ -163,6 +166,8 @@ def _reassemble(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
         flat[offsets[k] : offsets[k + 1]] = ids[np.arange(totals[k]) + np.repeat(first[own] - (np.cumsum(c) - c), c)]
     values = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * offsets).astype("<i4")), pa.py_buffer(flat)])
     columns = [docs.column(x) for x in range(docs.num_columns - 1)]
+    del seq, at, ids, first, count, parts
+    give_back()
     return pa.table([*columns, pa.array(totals, pa.int64()), values], names=names)
 
 
@@ -183,6 +188,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
     return whole.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "ids")
 
 
+@tidy
 def _decode(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[pa.RecordBatch]:
     table = _token_table(ranks)
     for batch in batches:

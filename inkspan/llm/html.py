@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches
+from inkspan.llm.common import small_batches, tidy
 
 WINDOW = 3
 LINK_SHARE = 0.6
@@ -177,6 +177,7 @@ def _between(lines: list[tuple[str, float, int]]) -> str:
     return " ".join(lines[k][0] for k in range(first, end) if lengths[k])
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]

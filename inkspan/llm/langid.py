@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches
+from inkspan.llm.common import small_batches, tidy
 
 DIMENSIONS = 4096
 SAMPLE = 600
@@ -164,6 +164,7 @@ def train(df: DataFrame, fold: Column, id_col: str = "doc_id", text: str = "text
     return Hierarchy(x[order], [languages[i] for i in order])
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: Hierarchy | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches, stage, text_bytes
+from inkspan.llm.common import small_batches, stage, text_bytes, tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,6 +69,7 @@ def measure(text: bytes) -> tuple[dict[str, int], list[dict[str, int]]]:
     return counts, [{"h": h, "n": n} for h, n in lines.items()]
 
 
+@tidy
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
     for batch in batches:
@@ -99,6 +100,7 @@ def assess(df: DataFrame, text: str = "text", host: str = "source", keep: tuple[
     return joined.select(*names, *COUNTS, "n_words_over", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "over")
 
 
+@tidy
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches, stage, text_bytes
+from inkspan.llm.common import small_batches, stage, text_bytes, tidy
 from inkspan.llm.components import components
 
 SEED = 42
@@ -86,6 +86,7 @@ def text_fingerprints(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
+@tidy
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = text_fingerprints(text_bytes(batch.column(1)))
@@ -147,6 +148,7 @@ def half_anchors(half: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+@tidy
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -179,6 +181,7 @@ def _classes(fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[linked], ranked[label[linked]]
 
 
+@tidy
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of some anchors. Links each linked fingerprint to the smallest of its class at the anchor."""
     keys, fps, homes = [], [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import chunk_id, pack_sorted, pack_table, partitions_for, small_batches, stage_bucketed, text_bytes, unpack_sorted, unpack_table
+from inkspan.llm.common import chunk_id, give_back, pack_sorted, pack_table, partitions_for, small_batches, stage_bucketed, text_bytes, tidy, unpack_sorted, unpack_table
 
 CHUNK_BYTES = 16_000_000
 BLOCK_BYTES = 1_000_000
@@ -99,6 +99,7 @@ def _split(texts: pa.ChunkedArray | pa.Array) -> list[list[bytes]]:
     return [(t or b"").split() for t in text_bytes(texts)]
 
 
+@tidy
 def _chunks(batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []
     held = windows = 0
@@ -123,6 +124,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int) -> I
         yield flush()
 
 
+@tidy
 def _hashes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
     for batch in batches:
@@ -139,6 +141,7 @@ def _texts(table: pa.Table) -> pa.Array:
     return table.column(table.num_columns - 1).combine_chunks()
 
 
+@tidy
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task, one bucket: to each chunk, those of its hashes that stand in another chunk too."""
     chunks: list[int] = []
@@ -191,6 +194,8 @@ def _remove(left: pa.Table, right: pa.Table, size: int, names: list[str]) -> pa.
             kept.append(b" ".join(words))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     columns = [docs.column(c) for c in range(docs.num_columns - 1)]
+    del found, repeated, covered
+    give_back()
     return pa.table([*columns, pa.array([len(w) for w in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
 
