@@ -5,7 +5,9 @@ Each kind has a pattern, a check that drops a proposal, a score, and context wor
 CONTEXT characters. The four base kinds (email, ip, card, phone) stay whenever their check holds; a span of the further kinds
 stays from score KEEP on. A span's place comes from the pieces that the same pattern splits the text into: the lengths of pieces
 and matches, added up in turn. Patterns are possessive, and a run is entered only at its first character or where the last match
-ended, so long runs cost linear time; texts that lack a kind's telling character skip it.
+ended, so long runs cost linear time; texts that lack a kind's telling character skip it. Long texts with many spans cost little more
+than their length: stretches of text are read from its pieces of PIECE characters, a column of its own, since a substring of the whole
+text walks there from its start; arrays grow within blocks of the square root of their length, since an appended element copies them.
 
 Cases: a null or empty text has no spans; repeated rows are judged alike and kept; an empty table gives no rows; extra columns pass
 through, but one named as a result column is replaced; a text of any length is searched whole. Offsets are code points."""
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 50
+PIECE = 4000
 KEEP = 0.5
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
@@ -34,6 +37,27 @@ class Kind:
     bonus: float = 0.4
 
 
+def in_pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, the last one shorter."""
+    several = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.length(text) > PIECE, several).otherwise(F.array(text))
+
+
+def stretch(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end (exclusive; may lie beyond the text's end) of a text in pieces."""
+    first = F.floor(start / PIECE)
+    some = F.slice(pieces, (first + 1).cast("int"), (F.floor(end / PIECE) - first + 1).cast("int"))
+    return F.substring(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))
+
+
+def in_blocks(values: Column) -> Column:
+    """The array cut into blocks of the square root of its size."""
+    size = F.size(values)
+    width = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
+    cut = F.transform(F.array(F.struct(values.alias("v"), width.alias("w"))), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["v"]) - 1) / x["w"]).cast("int")), lambda k: F.slice(x["v"], k * x["w"] + 1, x["w"])))
+    return F.when(size > 0, cut[0]).otherwise(F.slice(F.array(values), 1, 0))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -68,8 +92,8 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 CHECKS = {
     "none": lambda m: F.lit(True),
     "ip": lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
-    "card": lambda m: F.when(F.length(_digits(m)).between(16, 19), luhn(_digits(m))).otherwise(False),
-    "short_card": lambda m: F.when(F.length(_digits(m)).between(13, 15), luhn(_digits(m))).otherwise(False),
+    "card": lambda m: F.exists(F.array(_digits(m)), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)),
+    "short_card": lambda m: F.exists(F.array(_digits(m)), lambda d: F.when(F.length(d).between(13, 15), luhn(d)).otherwise(False)),
     "phone": lambda m: F.length(_digits(m)).between(8, 15),
     "iban": lambda m: F.when(F.length(F.regexp_replace(m, " ", "")).between(15, 34), mod97(m)).otherwise(False),
 }
@@ -101,19 +125,24 @@ def proposals(text: Column, kind: Kind) -> Column:
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    def block(state: Column, part: Column) -> Column:
+        walked = F.aggregate(part, F.struct(state["at"].alias("at"), empty.alias("spans")), step)
+        return F.transform(F.array(walked), lambda w: F.struct(w["at"].alias("at"), F.concat(state["blocks"], F.array(w["spans"])).alias("blocks")))[0]
+
+    none = F.expr("cast(array() as array<array<struct<start:bigint,end:bigint,value:string>>>)")
+    walked = F.aggregate(in_blocks(pairs), F.struct(F.lit(0).cast("long").alias("at"), none.alias("blocks")), block, lambda s: F.flatten(s["blocks"]))
     there = text.contains(kind.hint) if kind.hint in ("@", "AKIA") else text.rlike(kind.hint)
     return F.when(there, walked).otherwise(empty)
 
 
-def spans_of(text: Column, kind: Kind, base: bool) -> Column:
-    """The kind's spans that stay, with their scores, in order of place."""
+def spans_of(text: Column, pieces: Column, kind: Kind, base: bool) -> Column:
+    """The kind's spans that stay, with their scores, in order of place. pieces: a column with the text's pieces."""
 
     def score(x: Column) -> Column:
         if not kind.context:
             return F.lit(kind.score)
         left = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        near = F.concat(F.substring(text, (left + 1).cast("int"), (x["start"] - left).cast("int")), F.lit(" "), F.substring(text, (x["end"] + 1).cast("int"), F.lit(CONTEXT)))
+        near = F.concat(stretch(pieces, left, x["start"]), F.lit(" "), stretch(pieces, x["end"], x["end"] + CONTEXT))
         return F.when(near.rlike(kind.context), F.least(F.lit(1.0), F.lit(kind.score + kind.bonus))).otherwise(F.lit(kind.score))
 
     valid = F.filter(proposals(text, kind), lambda x: CHECKS[kind.check](x["value"]))
@@ -127,12 +156,13 @@ def find(df: DataFrame, text: str = "text", further: tuple[Kind, ...] = FURTHER)
     whole = F.coalesce(F.col(text), F.lit(""))
     digit = whole.rlike("[0-9]")
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    join = lambda kinds, base: F.concat(*(spans_of(whole, k, base) for k in kinds))
-    email = spans_of(whole, BASE[0], True)
+    pieces = F.col("_pii_pieces")
+    join = lambda kinds, base: F.concat(*(spans_of(whole, pieces, k, base) for k in kinds))
+    email = spans_of(whole, pieces, BASE[0], True)
     numeric = F.when(digit, join(BASE[1:], True)).otherwise(empty)
     more = F.when(digit | whole.contains("AKIA"), join(further, False)).otherwise(empty) if further else empty
-    out = df.drop("base", "spans", "_more").withColumn("base", F.concat(email, numeric)).withColumn("_more", more)
-    return out.withColumn("spans", F.concat("base", "_more")).drop("_more")
+    out = df.drop("base", "spans").withColumn("_pii_pieces", in_pieces(whole)).withColumn("base", F.concat(email, numeric)).withColumn("_pii_more", more)
+    return out.withColumn("spans", F.concat("base", "_pii_more")).drop("_pii_more", "_pii_pieces")
 
 
 def written(spans: Column) -> Column:
@@ -148,12 +178,20 @@ def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Writes [KIND] over every span of find(); of spans that overlap, the one that begins first (then the longest) names all."""
     order = F.array_sort(F.col(spans), lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
 
+    pieces = F.col("_pii_pieces")
+    none = F.expr("cast(array() as array<string>)")
+
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        added = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        added = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(stretch(pieces, state["at"], s["start"]), label)).alias("out"))
         reached = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
         return F.when(s["start"] >= state["at"], added).otherwise(reached)
 
-    tail = lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
-    masked = F.aggregate(order, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, tail)
-    return df.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text)))
+    def block(state: Column, part: Column) -> Column:
+        written = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(written), lambda w: F.struct(w["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(w["out"], ""))).alias("out")))[0]
+
+    tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
+    masked = F.aggregate(in_blocks(order), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), block, tail)
+    cut = df.withColumn("_pii_pieces", in_pieces(F.coalesce(F.col(text), F.lit(""))))
+    return cut.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("_pii_pieces")

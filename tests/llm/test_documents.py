@@ -329,6 +329,26 @@ def pii_spans(spans):
     return [(s.kind, s.start, s.end) for s in spans]
 
 
+def test_pii_dense_long_text(spark):
+    """Thousands of spans in one text, some beside the edges of its pieces; minutes if the work grew with the square of its length."""
+    lines = [f"call a{i}@b{i}.com or +44 20 7946 {i:04d} \U0001f600 card 4111 1111 1111 1111 at 10.0.0.{i % 250} 555-123-4567" for i in range(2500)]
+    text = " ".join(lines)
+    found = pii.find(frame(spark, [(1, text, "en", "s", 0), (2, "x" * pii.PIECE + " " + text[: pii.PIECE], "en", "s", 0)]))
+    got = {r.doc_id: (pii_spans(r.base), pii_spans(r.spans), r.masked) for r in pii.mask(found.withColumn("masked", F.col("text")), "masked").collect()}
+    for doc_id, whole in ((1, text), (2, "x" * pii.PIECE + " " + text[: pii.PIECE])):
+        base, spans, masked = got[doc_id]
+        assert base == [(k, a, b) for k, s in plain_pii(whole).items() for a, b in s]
+        out, at = [], 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                out += [whole[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert masked == "".join(out) + whole[at:]
+    near = lambda m: text[max(0, m.start() - pii.CONTEXT) : m.start()] + " " + text[m.end() : m.end() + pii.CONTEXT]
+    called = [(m.start(), m.end()) for m in re.finditer("555-123-4567", text) if re.search(r"\bcall\b", near(m))]
+    assert [(a, b) for k, a, b in got[1][1] if k == "local_phone"] == called and len(called) == 2499  # the last one has no call after it
+
+
 def test_pii_context_decides(spark):
     df = frame(spark, [(1, "my ssn is 123-45-6789", None, None, None), (2, "part 123-45-6789 of the list", None, None, None)])
     assert {r.doc_id: len(r.spans) for r in pii.find(df).collect()} == {1: 1, 2: 0}
