@@ -52,10 +52,13 @@ def stretch(pieces: Column, start: Column, end: Column) -> Column:
 
 def in_blocks(values: Column) -> Column:
     """The array cut into blocks of the square root of its size."""
-    size = F.size(values)
-    width = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
-    cut = F.transform(F.array(F.struct(values.alias("v"), width.alias("w"))), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["v"]) - 1) / x["w"]).cast("int")), lambda k: F.slice(x["v"], k * x["w"] + 1, x["w"])))
-    return F.when(size > 0, cut[0]).otherwise(F.slice(F.array(values), 1, 0))
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+        return F.when(F.size(v) > 0, blocks).otherwise(F.slice(F.array(v), 1, 0))
+
+    return F.transform(F.array(values), cut)[0]  # bound once: written out, the search would run for every mention of it
 
 
 def _digits(m: Column) -> Column:
