@@ -18,7 +18,7 @@ def misread(text):
 @pytest.fixture(scope="module")
 def docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("docs"))
-    rows = [(1, "x " * 100 + LONG, "en"), (2, "short on", "en"), (3, "", "en")]
+    rows = [(1, "x " * 100 + LONG, "en"), (2, "short on", "en"), (3, "", "en"), (4, "señor, all on the 漢字 😀 hill " * 30, "es"), (6, "lang is not known on the hill", None)]
     spark.createDataFrame([(*r, "a", 0) for r in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
     return path, {i: t for i, t, _ in rows}
 
