@@ -93,7 +93,7 @@ def with_layout(df: DataFrame, out: str = "raw_text") -> DataFrame:
     texts = "transform(slice(rows, s.first + 1, s.n), r -> transform(r, b -> b.text))"
     row_text = "array_join(transform(rows[s.first], b -> b.text), '{}')"
     shaped = f"transform(sections, s -> named_struct('kind', s.kind, 'line', case s.kind when 'marker' then concat('\\n--- ', upper(trim({row_text.format(' ')})), ' ---') when 'text' then {row_text.format('    ')} end, 'cells', case when s.kind = 'table' then {texts} end))"
-    filled = "transform(_shaped, s -> named_struct('kind', s.kind, 'line', s.line, 'cells', transform(s.cells, c -> concat(c, array_repeat('', array_max(transform(s.cells, d -> size(d))) - size(c))))))"
+    filled = "transform(_shaped, s -> named_struct('kind', s.kind, 'line', s.line, 'cells', flatten(transform(array(array_max(transform(s.cells, d -> size(d)))), m -> transform(s.cells, c -> concat(c, array_repeat('', m - size(c))))))))"
     sized = "transform(_filled, s -> named_struct('kind', s.kind, 'line', s.line, 'cells', s.cells, 'widths', transform(s.cells[0], (x, j) -> array_max(transform(s.cells, c -> length(c[j]))))))"
     line = "concat('| ', array_join(zip_with(c, s.widths, (x, w) -> rpad(x, w, ' ')), ' | '), ' |')"
     rule = "concat('|', array_join(transform(s.widths, w -> repeat('-', w + 2)), '|'), '|')"

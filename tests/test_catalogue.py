@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 from inkspan.plans import catalogue
@@ -34,3 +36,14 @@ def test_error_rates_of_whole_texts(spark, docs):
     got = {r.config: r for r in catalogue.ab_benchmark(spark, path).collect()}["raw_no_preprocess"]
     scored = [t for t in texts.values() if t]
     assert got.n == len(texts) and got.avg_cer == pytest.approx(sum(rate(misread(t), t) for t in scored) / len(scored), abs=1e-6)
+
+
+def test_layout_of_whole_texts(spark, tmp_path):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(103)]
+    spark.createDataFrame([(1, " ".join(words), "en", "a", 0), (2, "one two", "en", "a", 0)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.n_rows, r.sizes) for r in catalogue.row_cluster(spark, str(tmp_path)).collect()}
+    assert rows == {1: (13, ",".join(["8"] * 12 + ["7"])), 2: (1, "2")}
+    text = {r.doc_id: r.raw_text for r in catalogue.layout_text(spark, str(tmp_path)).collect()}[1]
+    assert [w for w in text.split() if w.startswith("w")][8:] == words  # the first row stands as text before the table too
+    flat = {r.doc_id: r.digest for r in catalogue.flat_text(spark, str(tmp_path)).collect()}
+    assert flat[1] == hashlib.md5("\n".join(words).encode()).hexdigest()
