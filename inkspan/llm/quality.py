@@ -3,9 +3,9 @@
 A document's lines are normalised (words of A-Z in lower case, runs of digits as 0, one space between) and hashed. For every host
 and line the distinct documents are counted; a line is over the limit when they are more than MIN_DOCUMENTS and than MAX_SHARE of
 the host's documents. Lines over the limit are removed, and a document left with under MIN_LEFT of its words is rejected as depleted.
-The column ``source`` is the host. Copies of one document count once: what tells documents apart, for a line, is the smallest
-hash among the other lines, so a clean text that stands there a thousand times is not taken for boilerplate, and a notice that
-stands in many texts is.
+The column ``source`` is the host. Copies of one document, whose distinct normalised lines are the same, count once: documents are told
+apart by a fingerprint of all of them, so a clean text that stands there a thousand times is not taken for boilerplate, and a notice of
+any number of lines that stands in many texts is. Near copies are different documents.
 
 A hot host or line is only a group of partial counts; to find the lines to remove, the lines are joined over two exchanges, which
 adaptive execution splits.
@@ -86,11 +86,10 @@ def assess(df: DataFrame, text: str = "text", host: str = "source", keep: tuple[
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("lines", _LINES)])
     base = stage(source.mapInArrow(_measured, schema).withColumn("row", F.monotonically_increasing_id()))
     host_key = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("")).alias("host")
-    rows = base.select("row", host_key, "lines", F.array_min("lines.h").alias("least"))
-    next_least = F.array_min(F.filter(F.col("lines.h"), lambda h: h != F.col("least")))
-    lines = rows.withColumn("second", next_least).select("row", "host", "least", "second", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"), F.when(F.col("line.h") == F.col("least"), F.coalesce("second", F.lit(-1))).otherwise(F.col("least")).alias("other"))
+    rows = base.select("row", host_key, "lines", F.xxhash64(F.array_sort("lines.h")).alias("whole"))
+    lines = rows.select("row", "host", "whole", F.explode("lines").alias("line")).select("row", "host", "whole", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     documents = rows.groupBy("host").agg(F.count("*").alias("documents"))
-    distinct = lines.groupBy("host", "h", "other").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("times")).where(F.col("times") > MIN_DOCUMENTS)
+    distinct = lines.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("times")).where(F.col("times") > MIN_DOCUMENTS)
     over = stage(distinct.join(documents, "host").where(F.col("times") * 100 > F.col("documents") * MAX_SHARE_PERCENT).select("host", "h"))
     found = lines.select("row", "host", "h", "n").join(over, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("n_over"), F.collect_set("h").alias("over"))
     joined = base.drop("lines", "host").join(found, "row", "left").withColumn("n_words_over", F.coalesce("n_over", F.lit(0)))

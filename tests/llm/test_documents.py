@@ -84,6 +84,19 @@ def test_copies_are_not_boilerplate(spark):
     assert {r.kept for r in out.collect()} == {True}
 
 
+def test_notice_of_many_lines(spark):
+    notice = [" ".join(words(random.Random(i), 8, "abcdefgh")) for i in range(40)]
+    own = lambda i: " ".join(words(random.Random(1_000 + i), 10 if i < 30 else 300, "ijklmnop"))
+    texts = ["\n".join([*(notice if i < 40 else []), own(i)]) for i in range(120)] + ["\n".join([*notice, own(0)])] * 5
+    lines, times = [{quality.line_hash(x.encode())[0] for x in t.split("\n")} for t in texts], Counter()
+    for x in {frozenset(x) for x in lines}:
+        times.update(x)
+    over = {h for h, k in times.items() if k > 10 and 100 * k > len(texts)}
+    got = {r.doc_id: r for r in quality.assess(frame(spark, [(i, t, "en", "n", 0) for i, t in enumerate(texts)])).collect()}
+    assert len(over) == 40 and all(set(r.over or ()) == over & lines[i] for i, r in got.items())
+    assert {i for i, r in got.items() if not r.base_failed and not r.kept} == {*range(30), *range(120, 125)}
+
+
 # 3 byte-level BPE
 
 
