@@ -145,6 +145,19 @@ def test_recall_audit(spark):
     assert sum(min(got[i], t) for i, t in enumerate(true)) >= 0.9 * sum(true) and all(got[i] <= t for i, t in enumerate(true))
 
 
+def test_crowd_does_not_outweigh_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((100, 32))
+    vectors = np.vstack([base[0] + 0.01 * rng.standard_normal((100, 32)), base, base[1:] + 0.02 * rng.standard_normal((99, 32))])
+    unit = [v / np.linalg.norm(v) for v in vectors]
+    nodes = spark.createDataFrame([(i, 1, u.astype("<f8").tobytes()) for i, u in enumerate(unit)], "node long, many long, unit binary")
+    true = [len(x) for x in plain_links([list(v) for v in vectors])]
+    links = lambda least: spark.createDataFrame([(i, k) for i, k in enumerate(true) if k >= least], "node long, links long")
+    assert neighbors.recall(nodes, len(unit), links(1), 0.9) == 1.0
+    share = neighbors.recall(nodes, len(unit), links(50), 0.9)  # every isolated pair is missed
+    assert share < 0.5, f"share {share:.4f}"
+
+
 # components
 
 
