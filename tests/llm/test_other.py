@@ -91,6 +91,77 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).collect() == []
 
 
+FOX = "The quick brown fox jumps over the lazy dog and runs into the deep forest where nobody goes. " * 3
+FOX = FOX.strip()
+PROBES = {
+    f"<form><div><ul><li><a href=1>Home</a></li></ul></div><div><p>{FOX}</p><p>{FOX}</p></div></form>": f"{FOX} {FOX}",
+    f"<article><p>{FOX}</p><section id='search-algorithms'><p>binary search</p></section><div class='search-results'><p>found</p></div></article>": f"{FOX} binary search found",
+    f"<div class='product-review'><p>{FOX}</p><p>{FOX}</p></div><p>foot</p>": f"{FOX} {FOX} foot",
+    "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> known.</p></article>": "Energy is E=m known.",
+    f"<article><p>a</p></article><div><p>{FOX}</p><p>{FOX}</p></div>": f"{FOX} {FOX}",
+    f"<div><p>{FOX}</p><div class='ad'>buy</div><p>{FOX}</p><form><p>a</p><p>b</p><p>c</p><p>d</p></form><p>end.</p></div>": f"{FOX} {FOX} end.",
+    f"<article><p>{FOX}</p></article><aside><article><p>{FOX} {FOX}</p></article></aside>": f"{FOX} {FOX}",
+    f"<main><article><p>{FOX}</p></article><article><p>{FOX}</p></article></main><footer>no</footer>": f"{FOX} {FOX}",
+    f"<div id='comments'><p>{FOX}</p></div><div id='siteNav'>x y z</div><h1>T</h1><p>{FOX} {FOX}</p><div class='comment-list'><p>{FOX}</p></div>": f"T {FOX} {FOX}",
+}
+
+
+def test_main_text_is_not_a_matter_of_names():
+    for page, want in PROBES.items():
+        assert html.main_text(page) == want, page
+
+
+def plain_stretch(blocks, window=3):
+    """blocks of (text, characters in links): the heaviest run of windows that reach the threshold, and its neighbours."""
+    weights = [0 if linked > 0.6 * len(text) else len(text) - linked for text, linked in blocks]
+    if not any(weights):
+        return ""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    threshold = 0.2 * sum(w * w for w in weights) / sum(weights)
+    runs, run = [], []
+    for i in [*range(len(sums)), None]:
+        if i is not None and sums[i] > 0:
+            run.append(i)
+        elif run:
+            if max(sums[j] for j in run) >= threshold:
+                some = [j for j in run if weights[j]]
+                runs.append((some[0], some[-1] + 1))
+            run = []
+    total = [sum(weights[a:b]) for a, b in runs]
+    k = total.index(max(total))
+    first, end = runs[k]
+    for order in (range(k - 1, -1, -1), range(k + 1, len(runs))):
+        for i in order:
+            a, b = runs[i]
+            if (first - b if b <= first else a - end) > 2 * window or total[i] < 0.25 * total[k]:
+                break
+            first, end = min(first, a), max(end, b)
+    return " ".join(text for text, _ in blocks[first:end])
+
+
+def test_main_text_against_plain(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pages = []
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.choice("tttlls")
+            for _ in range(rng.randint(1, 7)):
+                n = {"t": rng.randint(10, 60), "l": rng.randint(1, 3), "s": rng.randint(1, 4)}[kind]
+                text = " ".join("w" * rng.randint(1, 9) for _ in range(n))
+                blocks.append((text, len(text) if kind == "l" else 0))
+        pages.append(blocks)
+    write = lambda blocks: "<body>" + "".join(f"<div>{'<a href=x>' + t + '</a>' if k else t}</div>\n" for t, k in blocks)
+    got = [html.main_text(write(b)) for b in pages]
+    assert got == [plain_stretch(b) for b in pages]
+    # without windows: every line that is not a link
+    assert sum(g != " ".join(t for t, k in b if not k) for g, b in zip(got, pages)) > 100
+    monkeypatch.setattr(html, "WINDOW", 1)
+    assert [html.main_text(write(b)) for b in pages] != got
+
+
 def test_long_page(spark):
     page = "<nav>x</nav><article>" + "".join(f"<p>par {i} <i>of</i> many</p>" for i in range(20_000)) + "</article>"
     assert html.main_text(page) == " ".join(f"par {i} of many" for i in range(20_000))
