@@ -1,15 +1,16 @@
 """Substring dedup (operator 8): Rabin-Karp hashes of every window of so many words, counted over the corpus.
 
-A window's hash is a polynomial over the bytes of its words joined by one space, modulo 2**64, with a random number for each
-byte value; prefix sums give all windows of a block of text at once. A task packs some 16 million characters of documents into a
+Every word has two random numbers (XXH64 under two seeds). A window's hash is a pair: a polynomial over its words' first numbers modulo
+the prime 2**61 - 1, and the upper half of one over their second numbers modulo 2**64. Hashes of windows of 2, 4, 8 ... words are made from those of half
+the length, and joined to the length asked for. A task packs some 16 million characters of documents into a
 chunk and sends the chunk's distinct window hashes, sorted, to buckets of the hash range. The task of a bucket counts in how
 many chunks each hash stands and answers every chunk with those found elsewhere; repeats inside a chunk show in the chunk itself.
 Back at the chunk, which never moved (it is staged in buckets and cogrouped in place), windows with a repeated hash are merged
 into maximal runs of words, and these are removed. A hash that a third of all windows share costs one entry for each chunk,
-so nothing is hot. Only hashes are shuffled: 8 bytes a window, less after packing.
+so nothing is hot. Only hashes are shuffled: 12 bytes a window, less after packing.
 
-Two different windows with the same 64-bit hash would be taken for repeats: among n windows some n * n / 2**65 pairs, 0.0005 on 135
-million windows.
+Two different windows are taken for repeats if all 93 bits of their hashes agree: among n windows some n * n / 2**94 pairs, 0.005 on
+10**13 windows (100 TB). No structure of a text helps that on: the prime modulus has no low bits of its own, unlike a power of two.
 
 Cases: a null text has no words, and texts with fewer words than a window keep all; repeated rows repeat each other's windows,
 so both lose them; an empty table gives no rows; columns named in ``keep`` pass through, others are dropped; a text of any length is
@@ -18,10 +19,11 @@ judged whole, in pieces that overlap by a window less one word."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,72 +31,132 @@ from pyspark.sql import types as T
 from inkspan.llm.common import chunk_id, give_back, pack_sorted, pack_table, partitions_for, small_batches, stage_bucketed, text_bytes, tidy, unpack_sorted, unpack_table
 
 CHUNK_BYTES = 16_000_000
-BLOCK_BYTES = 1_000_000
+BLOCK_WORDS = 200_000
 PIECE_WORDS = 100_000
 BUCKET_WINDOWS = 3_000_000
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's first n powers and their inverses modulo 2**64."""
-    inverse = pow(_BASE, -1, 2**64)
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
-
-
-def block_hashes(words: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """words: texts separated by line ends, their words by spaces. The hash of every window of size words in one text, and the
-    number, among all words of the block, of its first word."""
-    data = np.frombuffer(words, np.uint8)
-    powers, inverses = _powers(max(BLOCK_BYTES * 2, 1 << (len(data) + 1).bit_length()))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * powers[: len(data)], out=prefix[1:])
-    ends = np.append(np.flatnonzero((data == 32) | (data == 10)), len(data))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    text_of = np.concatenate([[0], np.cumsum(data[ends[:-1]] == 10)])
-    if len(ends) < size:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    first = np.flatnonzero(text_of[: len(ends) - size + 1] == text_of[size - 1 :])
-    s, e = starts[first], ends[first + size - 1]
-    h = (prefix[e] - prefix[s]) * inverses[s]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), first
-
-
-def text_hashes(texts: list[list[bytes]], size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+PRIME = (1 << 61) - 1
+#: Bases of the two polynomials, drawn at random; the second is odd.
+BASES = (0x11B6DC7F2E9A4C35, 0x9E3779B97F4A7C15)
+SEEDS = (20240131, 20240607)
+Pairs = tuple[np.ndarray, np.ndarray]
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo the prime, in parts of 31 bits: 2**61 counts as 1."""
+    low, high = np.uint64(c & 0x7FFFFFFF), np.uint64(c >> 31)
+    a, b = x & np.uint64(0x7FFFFFFF), x >> np.uint64(31)
+    middle = b * low + a * high
+    return _reduce((b * high << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << np.uint64(31)) + a * low)
+
+
+def polynomials(first: np.ndarray, second: np.ndarray, size: int) -> Pairs:
+    """Of every window of size numbers: the polynomial over first modulo the prime, and that over second modulo 2**64."""
+    n = len(first) - size + 1
+    done: Pairs | None = None
+    length, made = 1, 0
+    while True:
+        if size & length:  # the window's next so many words
+            if done is None:
+                done = first[:n], second[:n]
+            else:
+                p, q = pow(BASES[0], length, PRIME), pow(BASES[1], length, 1 << 64)
+                done = _reduce(times(done[0], p) + first[made : made + n]), done[1] * np.uint64(q) + second[made : made + n]
+            made += length
+        if 2 * length > size:
+            return done
+        p, q = pow(BASES[0], length, PRIME), pow(BASES[1], length, 1 << 64)
+        first, second = _reduce(times(first[:-length], p) + first[length:]), second[:-length] * np.uint64(q) + second[length:]
+        length *= 2
+
+
+def numbers(words: list[bytes]) -> Pairs:
+    """Each word's two random numbers; the first below the prime."""
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    own = coded.dictionary.to_pylist()
+    at = coded.indices.to_numpy()
+    first, second = (np.fromiter((xxhash.xxh64_intdigest(w, seed=s) for w in own), np.uint64, len(own)) for s in SEEDS)
+    return _reduce(first)[at], second[at]
+
+
+def text_hashes(texts: list[list[bytes]], size: int) -> Iterator[tuple[int, int, Pairs]]:
     """For texts given as words: (text's number, first word's number, hashes of the windows that begin there and at the next
     words), block by block."""
     block: list[tuple[int, int, int]] = []
-    parts: list[bytes] = []
-    held = 0
+    held: list[bytes] = []
 
-    def run() -> Iterator[tuple[int, int, np.ndarray]]:
-        h, first = block_hashes(b"\n".join(parts), size)
-        at = np.cumsum([0] + [n for _, _, n in block])
-        cuts = np.searchsorted(first, at)
-        for k, (text, word, _) in enumerate(block):
-            yield text, word, h[cuts[k] : cuts[k + 1]]
+    def run() -> Iterator[tuple[int, int, Pairs]]:
+        prime, power = polynomials(*numbers(held), size)
+        power = (power >> np.uint64(32)).astype(np.uint32)
+        at = 0
+        for text, word, n in block:
+            windows = slice(at, at + n - size + 1)  # none across two texts
+            yield text, word, (prime[windows], power[windows])
+            at += n
 
     for t, words in enumerate(texts):
         for start in range(0, len(words) - size + 1, PIECE_WORDS):
             piece = words[start : start + PIECE_WORDS + size - 1]
-            joined = b" ".join(piece)
             block.append((t, start, len(piece)))
-            parts.append(joined)
-            held += len(joined)
-            if held >= BLOCK_BYTES:
+            held += piece
+            if len(held) >= BLOCK_WORDS:
                 yield from run()
-                block, parts, held = [], [], 0
+                block, held = [], []
     if block:
         yield from run()
 
 
+def distinct(pairs: Pairs) -> tuple[Pairs, np.ndarray]:
+    """The different pairs, sorted, and how often each is there."""
+    a, b = pairs
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    if len(a) and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # only then may equal pairs stand apart
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return (a[starts], b[starts]), np.diff(np.append(starts, len(a)))
+
+
+def among(pairs: Pairs, known: Pairs) -> np.ndarray:
+    """Which pairs are among known, which is sorted and has each once."""
+    (a, b), (x, y) = pairs, known
+    if not len(x):
+        return np.zeros(len(a), bool)
+    at = np.minimum(np.searchsorted(x, a), len(x) - 1)
+    found = (x[at] == a) & (y[at] == b)
+    open_ = np.flatnonzero((x[at] == a) & ~found)
+    while len(open_):  # first numbers that several pairs share
+        at[open_] += 1
+        open_ = open_[at[open_] < len(x)]
+        open_ = open_[x[at[open_]] == a[open_]]
+        found[open_] = y[at[open_]] == b[open_]
+        open_ = open_[~found[open_]]
+    return found
+
+
+def joined(parts: list[Pairs]) -> Pairs:
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+
+def _packed(pairs: Pairs) -> bytes:
+    a = pack_sorted(pairs[0])
+    return len(a).to_bytes(8, "little") + a + pairs[1].astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> Pairs:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return unpack_sorted(data[8:end]), np.frombuffer(data, "<u4", offset=end)
+
+
 def _split(texts: pa.ChunkedArray | pa.Array) -> list[list[bytes]]:
     return [(t or b"").split() for t in text_bytes(texts)]
 
@@ -126,15 +188,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int) -> I
 
 @tidy
 def _hashes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    edges = np.array([k * PRIME // buckets for k in range(1, buckets)], np.uint64)
     for batch in batches:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = [h for _, _, h in text_hashes(_split(_texts(unpack_table(packed.as_py()))), size)]
-            values = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            cuts = [0, *np.searchsorted(values, edges), len(values)]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "chunk": [chunk], "hashes": pa.array([pack_sorted(values[cuts[b] : cuts[b + 1]])], pa.binary())})
+            (a, b), _ = distinct(joined([h for _, _, h in text_hashes(_split(_texts(unpack_table(packed.as_py()))), size)]))
+            cuts = [0, *np.searchsorted(a, edges), len(a)]
+            for k in range(buckets):
+                own = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1]:
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "chunk": [chunk], "hashes": pa.array([_packed((a[own], b[own]))], pa.binary())})
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -151,31 +213,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed += batch.column("hashes").to_pylist()
     if not chunks:
         return
-    every = np.sort(np.concatenate([unpack_sorted(p) for p in packed]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    del every
+    (a, b), many = distinct(joined([_unpacked(p) for p in packed]))
+    twice = a[many > 1], b[many > 1]
+    del a, b, many
     for chunk, p in zip(chunks, packed, strict=True):
-        own = unpack_sorted(p)
-        at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
-        own = own[twice[at] == own] if len(twice) else own[:0]
-        if len(own):
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "hashes": pa.array([pack_sorted(own)], pa.binary())})
+        own = _unpacked(p)
+        hits = among(own, twice)
+        if hits.any():
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "hashes": pa.array([_packed((own[0][hits], own[1][hits]))], pa.binary())})
 
 
 def _remove(left: pa.Table, right: pa.Table, size: int, names: list[str]) -> pa.Table:
     docs = unpack_table(left.column("docs")[0].as_py())
     texts = _split(_texts(docs))
     found = list(text_hashes(texts, size))
-    elsewhere = [unpack_sorted(x.as_py()) for x in right.column("hashes")]
-    every = np.sort(np.concatenate([h for _, _, h in found])) if found else np.empty(0, np.uint64)
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *elsewhere]))
-    del every
+    (a, b), many = distinct(joined([h for _, _, h in found]))
+    repeated, _ = distinct(joined([(a[many > 1], b[many > 1]), *(_unpacked(x.as_py()) for x in right.column("hashes"))]))
+    del a, b, many
     covered: dict[int, np.ndarray] = {}
     for text, word, h in found:
-        if not len(repeated):
-            break
-        at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-        hits = np.flatnonzero(repeated[at] == h) + word
+        hits = np.flatnonzero(among(h, repeated)) + word
         if len(hits):
             steps = covered.setdefault(text, np.zeros(len(texts[text]) + 1, np.int64))
             steps[hits] += 1

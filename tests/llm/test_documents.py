@@ -245,13 +245,45 @@ def test_remove_repeats(spark, rows, size, chunk):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed and all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
 
 
+def test_windows_that_only_look_alike_stay(spark):
+    """Two windows of 1,024 words, a Thue-Morse word and its complement: any polynomial modulo 2**64 takes them for equal."""
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(i, " ".join("ab"[x ^ i] for x in morse), None, None, None) for i in (0, 1)] + [(2 + i, " ".join(["c" * i] + ["ab"[x] for x in morse]), None, None, None) for i in (1, 2)]
+    got = windows.remove_repeats(frame(spark, rows), size=1024)
+    assert by_row(got.drop("removed")) == plain_removed(rows, 1024)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {0: 1024, 1: 0, 3: 1024, 4: 1024}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 35])
+def test_window_polynomials(size):
+    rng = np.random.default_rng(3)
+    first, second = rng.integers(0, windows.PRIME, 60, dtype=np.uint64), rng.integers(0, 2**64, 60, dtype=np.uint64)
+    first[:5] = windows.PRIME - 1
+    a, b = windows.polynomials(first, second, size)
+    for i in range(60 - size + 1):
+        x = y = 0
+        for k in range(size):
+            x, y = (x * windows.BASES[0] + int(first[i + k])) % windows.PRIME, (y * windows.BASES[1] + int(second[i + k])) % 2**64
+        assert (x, y) == (int(a[i]), int(b[i]))
+
+
+def test_pairs_that_share_a_number():
+    rng = np.random.default_rng(4)
+    own = rng.integers(0, 5, 200).astype(np.uint64), rng.integers(0, 6, 200).astype(np.uint32)
+    known, many = windows.distinct((own[0][:20], own[1][:20]))
+    assert dict(zip(zip(*(x.tolist() for x in known)), many.tolist())) == dict(sorted(Counter(zip(own[0][:20].tolist(), own[1][:20].tolist())).items()))
+    want = set(zip(own[0][:20].tolist(), own[1][:20].tolist()))
+    assert windows.among(own, known).tolist() == [p in want for p in zip(own[0].tolist(), own[1].tolist())]
+    assert [x.tolist() for x in windows._unpacked(windows._packed(known))] == [x.tolist() for x in known]
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
-    texts = [b"w%d " % (i % 50) * 1 for i in range(400)]
-    words = b"".join(texts).split()
-    whole = list(windows.text_hashes([words], 35))
+    words = b"".join(b"w%d " % (i % 50) for i in range(400)).split()
+    whole = windows.joined([h for _, _, h in windows.text_hashes([words], 35)])
     monkeypatch.setattr(windows, "PIECE_WORDS", 60)
-    parts = list(windows.text_hashes([words], 35))
-    assert np.array_equal(np.concatenate([h for _, _, h in whole]), np.concatenate([h for _, _, h in parts]))
+    monkeypatch.setattr(windows, "BLOCK_WORDS", 100)
+    parts = windows.joined([h for _, _, h in windows.text_hashes([words], 35)])
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts)) and len(whole[0]) == 366
 
 
 # 9 mixing
