@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def rows_of(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names never meet ours."""
-    return df.select(*(df[n] for n in names))
+def smallest(df: DataFrame, n: int, *names: str) -> DataFrame:
+    """A bounded sample: the n rows with the smallest 64-bit hashes of the named columns, all rows if there are no more. Each task keeps n rows
+    at most, so neither the number of rows nor repeats of one row matter."""
+    return df.orderBy(F.xxhash64(*names), *names).limit(n)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -152,6 +153,3 @@ def chunk_id() -> int:
     """A new id for what one task has gathered; ids are fixed once the table that holds them is staged."""
     return uuid.uuid4().int >> 65
 
-
-def repartition_by(df: DataFrame, n: int, key: str) -> DataFrame:
-    return df.repartition(n, F.col(key))

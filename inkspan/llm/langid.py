@@ -3,11 +3,12 @@ machines between the languages of that family.
 
 A text's features are its hashed letter n-grams of one to three characters (lower case, everything else a blank), square roots of their
 counts, of unit length. Families come from a fixed table; a language that is not in it is a family of its own. The family machines are one
-against the rest. All machines are trained on the driver from a bounded sample: some SAMPLE documents of each language, chosen by a hash of
-their id, as vectors of DIMENSIONS numbers; texts go in whole. Prediction needs the text alone.
+against the rest. All machines are trained on the driver from a bounded sample: of each language the SAMPLE documents with the smallest hashes of
+their id, as vectors of DIMENSIONS numbers; texts go in whole. The LANGUAGES labels with most documents are learned, so that dirty labels do not
+grow the model. Prediction needs the text alone.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; so is everything when nothing can be learned; repeated rows are
-predicted alike and kept; an empty table gives no rows; columns named in ``keep`` pass through; a text of any length is read whole, in
+Cases: a null text, or one without a letter, is ``und`` with score 0; so is everything when nothing can be learned; documents without an id are learned from like
+others; repeated rows are predicted alike and kept; an empty table gives no rows; columns named in ``keep`` pass through; a text of any length is read whole, in
 pieces."""
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,7 @@ from inkspan.llm.common import small_batches, tidy
 
 DIMENSIONS = 4096
 SAMPLE = 600
+LANGUAGES = 200
 PIECE = 1_000_000
 UNKNOWN = "und"
 #: Families of ISO 639-1 codes.
@@ -147,15 +149,24 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in own], pa.string()), "v": pa.array([v for _, v in own], pa.binary())})
 
 
-def train(df: DataFrame, fold: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Hierarchy | None:
+def chosen_rows(known: DataFrame, sample: int, languages: int) -> DataFrame:
+    """known(id, text, lang): of each of the languages with most rows, the sample rows with the smallest hashes of their ids. The cut is found
+    without the texts; ties at it, as of many rows without an id, are ranked too, in each task first."""
+    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    hashed = known.where(F.col("lang").isin(often)).withColumn("hash", F.xxhash64("id"))
+    first = Window.partitionBy("lang").orderBy("hash")
+    cuts = hashed.select("lang", "hash").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("hash").alias("cut")).collect()
+    if not cuts:
+        return known.limit(0)
+    below = F.coalesce(*(F.when(F.col("lang") == r["lang"], r["cut"]) for r in cuts))
+    tied = Window.partitionBy("lang").orderBy("hash", F.xxhash64("text"))
+    return hashed.where(F.col("hash") <= below).withColumn("rank", F.row_number().over(tied)).where(F.col("rank") <= sample)
+
+
+def train(df: DataFrame, fold: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Hierarchy | None:
     """Learns from the rows where fold is true and the language is known; None if there are none."""
     known = df.where(fold & F.col(lang).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = known.groupBy("lang").count().collect()  # one row a language
-    if not counts:
-        return None
-    part = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])) for r in counts))
-    luck = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.where(luck < part).select("lang", "text").mapInArrow(_vectors, "lang string, v binary").toArrow()
+    chosen = chosen_rows(known, sample, languages).select("lang", "text").mapInArrow(_vectors, "lang string, v binary").toArrow()
     if not chosen.num_rows:
         return None
     x = np.stack([np.frombuffer(v, "<f2") for v in chosen.column("v").to_pylist()]).astype(np.float32)

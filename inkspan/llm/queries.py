@@ -47,7 +47,8 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """URL filters (operator 1), in DataFrame functions only: rules by host and path, and gradient-boosted trees for the rest.
 
 The labelled URLs are those that a rule decides; the trees learn from them to judge the URLs that none does. Features are lexical: length
-of URL, host and path, depth, host labels, digit and letter ratios, entropy, parameters, hyphens, and suffix statistics (how often the host's
-last one and last two labels, and the path's first segment and its extension, are blocked among the training URLs, smoothed by the
-overall rate). Training takes a sample of at most some SAMPLE different labelled URLs, chosen by hash; the fitted trees become one
-column expression, so every URL is judged inside generated code, without a Python worker.
+of URL, host and path, depth, host labels, digit and letter ratios, entropy, parameters, hyphens, and suffix statistics: how often the host's
+last one and last two labels, and the path's first segment and its extension, are blocked among all different labelled URLs, smoothed by the
+overall rate. The trees are fitted to SAMPLE different labelled URLs, half of each class, those with the smallest hashes, weighed as their class is among all; so that they do not read a URL's own label from its
+statistics, these are counted, for a URL of the sample, over the labelled URLs of other folds. The fitted trees become one
+column expression, so every URL is judged inside generated code, without a Python worker. ``audit`` tells how well they rank held-out labelled URLs.
 
 Cases: a null URL, or one without ://, has empty host and path and goes to the trees; repeated rows are judged alike and kept; an empty
 table gives no rows; without labelled URLs the verdict is allow, with labels of one class it is that class; extra columns pass through,
@@ -14,18 +15,20 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import stage
+from inkspan.llm.common import smallest, stage
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 SAMPLE = 8192
 TREES = 20
 DEPTH = 4
 SMOOTH = 10.0
+FOLDS = 5
 SUFFIXES = ("host_suffix1", "host_suffix2", "path_head", "path_extension")
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "letter_ratio", "entropy", "parameters", "hyphens")
 
@@ -54,7 +57,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def with_features(df: DataFrame, url: str) -> DataFrame:
-    """df(..., host, path) with the lexical features and the suffixes."""
+    """df(..., host, path) with the lexical features."""
     u = F.coalesce(F.col(url), F.lit(""))
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     chars = F.split(u, "")
@@ -74,8 +77,12 @@ def with_features(df: DataFrame, url: str) -> DataFrame:
         "parameters": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("[^&;]+"))),
         "hyphens": F.length(u) - F.length(F.replace(u, F.lit("-"))),
     }
-    suffixes = {"host_suffix1": F.substring_index("host", ".", -1), "host_suffix2": F.substring_index("host", ".", -2), "path_head": F.regexp_extract("path", "^/*([^/]*)", 1), "path_extension": F.regexp_extract("path", r"\.([A-Za-z0-9]+)/*$", 1)}
-    return df.withColumns({k: v.cast("double") for k, v in features.items()} | suffixes)
+    return df.withColumns({k: v.cast("double") for k, v in features.items()})
+
+
+def with_suffixes(df: DataFrame) -> DataFrame:
+    """df(..., host, path) with the suffixes."""
+    return df.withColumns({"host_suffix1": F.substring_index("host", ".", -1), "host_suffix2": F.substring_index("host", ".", -2), "path_head": F.regexp_extract("path", "^/*([^/]*)", 1), "path_extension": F.regexp_extract("path", r"\.([A-Za-z0-9]+)/*$", 1)})
 
 
 def _tree(node, columns: Sequence[str]) -> Column:
@@ -86,56 +93,90 @@ def _tree(node, columns: Sequence[str]) -> Column:
     return F.when(below, _tree(node.leftChild(), columns)).otherwise(_tree(node.rightChild(), columns))
 
 
-def train(labelled: DataFrame, url: str, label: str, sample: int = SAMPLE) -> tuple[Column, list[DataFrame]] | bool | None:
-    """labelled(url, host, path, label: 1 blocks): the margin as a column of the features, and the suffix tables to join first. With
-    one class only: whether it blocks; None without rows."""
+@dataclass(frozen=True)
+class Model:
+    margin: Column  # of the columns that with_rates() and with_features() add
+    stats: list[DataFrame]
+    rate: float
+
+
+def with_rates(df: DataFrame, stats: list[DataFrame], rate: float, fold: Column | None = None) -> DataFrame:
+    """df with the suffixes' rates, those of other folds than the one given. The tables of suffixes are as large as the URLs make them; Spark sends the small
+    ones to every task, by their size, and exchanges the others."""
+    for name, table in zip(SUFFIXES, stats, strict=True):
+        less = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - (F.get(c, fold) if fold is not None else 0), F.lit(0))  # noqa: E731, B023
+        smooth = (less(F.col("_blocks")) + SMOOTH * rate) / (less(F.col("_urls")) + SMOOTH)
+        df = df.join(table, name, "left").withColumn(f"{name}_rate", smooth).drop("_blocks", "_urls")
+    return df
+
+
+def train(labelled: DataFrame, url: str, label: str, sample: int = SAMPLE) -> Model | bool | None:
+    """labelled(url, label: 1 blocks). With one class only: whether it blocks; None without rows."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    of = labelled.where(F.col(url).isNotNull())
-    different = of.agg(F.approx_count_distinct(url)).first()[0]
-    part = min(1.0, 0.9 * sample / max(different, 1))
-    chosen = of.where(F.pmod(F.xxhash64(url), F.lit(1 << 20)) < int(part * (1 << 20))).groupBy(url, "host", "path").agg(F.max(label).alias(label))
-    rows = stage(with_features(chosen, url).orderBy(url))
-    n, blocks = rows.agg(F.count("*"), F.sum(label)).first()
+    different = labelled.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(label).cast("long").alias("block"))
+    host, path = split_url(F.col("url"))
+    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    every = stage(with_suffixes(different.withColumns({"host": host, "path": path, "fold": fold})))
+    n, blocks = every.agg(F.count("*"), F.sum("block")).first()
     if not n or blocks in (0, n):
         return bool(blocks) if n else None
     rate = blocks / n
-    stats = []
-    for s in SUFFIXES:
-        smooth = (F.sum(label) + F.lit(SMOOTH * rate)) / (F.count("*") + F.lit(SMOOTH))
-        stats.append(stage(rows.groupBy(s).agg(smooth.cast("double").alias(f"{s}_rate"))))
+    in_fold = lambda c: F.array(*(F.sum(F.when(F.col("fold") == k, c).otherwise(0)) for k in range(FOLDS)))
+    stats = [stage(every.groupBy(s).agg(in_fold(F.col("block")).alias("_blocks"), in_fold(F.lit(1).cast("long")).alias("_urls"))) for s in SUFFIXES]
     columns = [*LEXICAL, *(f"{s}_rate" for s in SUFFIXES)]
-    table = with_rates(rows, stats, rate).select(*columns, F.col(label).cast("double").alias("label"), url)
-    ordered = VectorAssembler(inputCols=columns, outputCol="features").transform(table.coalesce(1).sortWithinPartitions(url))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32).fit(ordered.select("features", "label"))
+    half = lambda x: smallest(every.where(F.col("block") == x), -(-sample // 2), "url")
+    chosen = stage(half(0).unionByName(half(1)))
+    size = {r["block"]: r["count"] for r in chosen.groupBy("block").count().collect()}
+    weight = F.when(F.col("block") == 1, blocks / size[1]).otherwise((n - blocks) / size[0])
+    rows = with_features(with_rates(chosen, stats, rate, F.col("fold")), "url").select("url", *columns, F.col("block").cast("double").alias("label"), weight.alias("weight"))
+    ordered = VectorAssembler(inputCols=columns, outputCol="features").transform(stage(rows).coalesce(1).sortWithinPartitions("url"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, weightCol="weight").fit(ordered.select("features", "label", "weight"))
     margin = reduce(lambda a, b: a + b, (F.lit(float(w)) * _tree(t._java_obj.rootNode(), columns) for w, t in zip(model.treeWeights, model.trees, strict=True)))
-    return margin, [(s, rate) for s in stats]
+    return Model(margin, stats, rate)
 
 
-def with_rates(df: DataFrame, stats: list[DataFrame], rate: float) -> DataFrame:
-    """Joins the suffix tables, which have no more rows than the training sample, and are therefore sent to every task."""
-    for name, table in zip(SUFFIXES, stats, strict=True):
-        df = df.join(F.broadcast(table), name, "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(rate)))
-    return df
+def with_score(df: DataFrame, model: Model | bool | None, url: str) -> DataFrame:
+    """df(..., host, path) with score (double: the trees' probability of block)."""
+    if not isinstance(model, Model):
+        return df.withColumn("score", F.lit(float(bool(model))))
+    ready = with_features(with_rates(with_suffixes(df), model.stats, model.rate), url)
+    return ready.withColumn("score", 1 / (1 + F.exp(-2 * model.margin)))
+
+
+def _ruled(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """df(url, ...) with host, path, and hit: the rule that decides."""
+    host, path = split_url(F.col("url"))
+    return df.withColumns({"host": host, "path": path}).withColumn("hit", match_rules(F.col("host"), F.col("path"), rules))
+
+
+def _labelled(ruled: DataFrame) -> DataFrame:
+    return ruled.where("hit is not null").select("url", F.when(F.col("hit.action") == "block", 1).otherwise(0).alias("block"))
+
+
+def audit(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", sample: int = SAMPLE) -> float | None:
+    """The area under the ROC curve of the trees' scores for a fifth of the different labelled URLs, which they did not learn from; None where either part
+    lacks a class."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    labelled = _labelled(_ruled(df.select(F.col(url).alias("url")), rules)).distinct()
+    out = F.pmod(F.xxhash64("url", F.lit("audit")), F.lit(5)) == 0
+    model = train(labelled.where(~out), "url", "block", sample)
+    host, path = split_url(F.col("url"))
+    asked = labelled.where(out).withColumns({"host": host, "path": path})
+    if not isinstance(model, Model) or asked.select("block").distinct().count() < 2:
+        return None
+    scored = stage(with_score(asked, model, "url").select("score", F.col("block").cast("double").alias("block")))
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="block").evaluate(scored)
 
 
 def judge(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """df's columns, host, path, rule (string or null), verdict (allow or block), score (double: the trees' probability of block; null
     where they were not asked)."""
     names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    plain = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), F.col(url).alias("url"))
-    host, path = split_url(F.col("url"))
-    ruled = plain.withColumns({"host": host, "path": path}).withColumn("hit", match_rules(F.col("host"), F.col("path"), rules))
-    labelled = ruled.where("hit is not null").select("url", "host", "path", F.when(F.col("hit.action") == "block", 1).otherwise(0).alias("block"))
-    model = train(labelled, "url", "block", sample)
-    if isinstance(model, tuple):
-        margin, stats = model
-        scored = with_rates(with_features(ruled, "url"), [s for s, _ in stats], stats[0][1]).withColumn("margin", margin)
-        score = 1 / (1 + F.exp(-2 * F.col("margin")))
-    else:
-        scored = ruled
-        score = F.lit(float(bool(model)))
-    own = F.when(F.col("hit").isNull(), score)
+    ruled = _ruled(df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), F.col(url).alias("url")), rules)
+    scored = with_score(ruled, train(_labelled(ruled), "url", "block", sample), "url")
+    own = F.when(F.col("hit").isNull(), F.col("score"))
     verdict = F.coalesce(F.col("hit.action"), F.when(own > 0.5, "block").otherwise("allow"))
     return scored.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), own.alias("score"))

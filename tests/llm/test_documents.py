@@ -153,6 +153,25 @@ def test_language_id(spark):
     assert again == {i: r.lang_pred for i, r in got.items()}
 
 
+def test_language_sample(spark):
+    """A fixed number of rows of each of the most frequent languages, however many there are, and however many ids are missing or the same."""
+    rows = [(str(i), f"t{i}", "en") for i in range(3000)] + [(None, f"n{i}", "de") for i in range(400)] + [("7", "same", "fr")] * 300 + [("1", "x", f"dirty{i}") for i in range(50)] + [("2", "y", "rare")] * 3
+    df = spark.createDataFrame(rows, "id string, text string, lang string").repartition(4)
+    got = Counter(r.lang for r in langid.chosen_rows(df, 20, 4).collect())
+    assert got == {"en": 20, "de": 20, "fr": 20, "rare": 3}
+    pick = lambda d: sorted(map(tuple, langid.chosen_rows(d, 20, 4).select("id", "text", "lang").collect()), key=repr)
+    assert pick(df) == pick(df.repartition(7))
+
+
+def test_language_id_null_ids_and_empty(spark):
+    rows = [(None if i % 3 == 0 else i, "der die das und nicht " * 9 if i % 2 else "the and of that with " * 9, "de" if i % 2 else "en", None, None) for i in range(60)]
+    df = frame(spark, rows)
+    model = langid.train(df, ~held_out(F.col("doc_id")))
+    got = langid.predict(df.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held")), model, keep=("lang", "held")).collect()
+    assert all(r.lang_pred == r.lang and r.held is not None for r in got) and len(got) == 60
+    assert langid.predict(df.limit(0), model).collect() == []
+
+
 def test_language_id_without_labels(spark, rows):
     df = frame(spark, [(i, t, None, s, n) for i, t, _, s, n in rows])
     model = langid.train(df, F.lit(True))

@@ -44,16 +44,52 @@ def test_url_rules(spark):
     assert got.count() == len(URLS) * 3 and got.columns[:3] == ["page_id", "url", "hit"]
 
 
-def test_url_trees_learn(spark):
-    """Blocked hosts have many digits; the rules know some of them."""
+def made_urls(n=400):
     rng = np.random.default_rng(2)
-    made = [(f"http://{'bad' if b else 'good'}{k % 40}.com/{'9' * 20 if b else 'words'}/{int(rng.integers(1000))}", b) for k in range(400) for b in (0, 1)]
-    labelled = spark.createDataFrame(made, "url string, block int")
+    return [(f"http://{'bad' if b else 'good'}{k % 40}.com/{'9' * 20 if b else 'words'}/{int(rng.integers(1000))}", b) for k in range(n) for b in (0, 1)]
+
+
+@pytest.mark.parametrize("sample", [urls.SAMPLE, 60])
+def test_url_trees_learn(spark, sample):
+    """Blocked hosts have many digits; the rules know some of them."""
+    model = urls.train(spark.createDataFrame(made_urls(), "url string, block int"), "url", "block", sample)
     host, path = urls.split_url(F.col("url"))
-    margin, stats = urls.train(labelled.withColumns({"host": host, "path": path}), "url", "block")
     test = spark.createDataFrame([("http://new1.com/99999999999999999999/5", 1), ("http://new2.com/words/77", 0)], "url string, block int").withColumns({"host": host, "path": path})
-    scored = urls.with_rates(urls.with_features(test, "url"), [s for s, _ in stats], stats[0][1]).select("block", margin.alias("m"))
-    assert all((r.m > 0) == (r.block == 1) for r in scored.collect())
+    assert all((r.score > 0.5) == (r.block == 1) for r in urls.with_score(test, model, "url").collect())
+
+
+def test_url_statistics_cover_all_but_the_own_fold(spark):
+    made = sorted(set(made_urls(60)))
+    model = urls.train(spark.createDataFrame(made, "url string, block int"), "url", "block", 10)
+    folds = {r.url: r.fold for r in spark.createDataFrame(made, "url string, block int").select("url", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(urls.FOLDS)).alias("fold")).collect()}
+    host, path = urls.split_url(F.col("url"))
+    rows = urls.with_suffixes(spark.createDataFrame([(u, folds[u]) for u, _ in made], "url string, fold int").withColumns({"host": host, "path": path}))
+    rate, head = sum(b for _, b in made) / len(made), lambda u: u.split("/")[3]
+    for fold in (None, F.col("fold")):
+        for r in urls.with_rates(rows, model.stats, model.rate, fold).collect():
+            others = [b for u, b in made if head(u) == head(r.url) and (fold is None or folds[u] != r.fold)]
+            assert r.path_head_rate == pytest.approx((sum(others) + urls.SMOOTH * rate) / (len(others) + urls.SMOOTH))
+
+
+def test_url_audit(spark):
+    df = spark.createDataFrame([(u,) for u, _ in made_urls()], "url string")
+    rules = [(("block", "allow")[g], f"{('bad', 'good')[g]}{k}.com/") for g in (0, 1) for k in range(30)]
+    assert urls.audit(df, rules) > 0.95
+    assert urls.audit(df, [("block", "bad1.com/")]) is None and urls.audit(df.limit(0)) is None
+
+
+def test_url_sample_of_any_share(spark):
+    """The sample is a fixed number of URLs, however small a share of them that is."""
+    from inkspan.llm.common import smallest
+
+    ids = spark.range(100_000).selectExpr("concat('u', id) as url").unionByName(spark.range(500).selectExpr("'same' as url"))
+    assert smallest(ids, 7, "url").count() == 7 and by_row(smallest(ids, 7, "url")) == by_row(smallest(ids.repartition(5), 7, "url"))
+    assert smallest(ids.where("url = 'same'"), 7, "url").count() == 7 and smallest(ids.limit(3), 7, "url").count() == 3
+
+
+def test_long_url(spark):
+    df = spark.createDataFrame([("http://a.com/en/" + "x/9?é" * 60_000,), ("http://q.info/" + "a1-" * 60_000,), ("http://b.net/de/",)], "url string")
+    assert sorted((len(r.url), r.rule, r.score is None) for r in urls.judge(df).collect()) == [(16, "net/de/", True), (180_014, None, False), (300_016, "com/en/", True)]
 
 
 @pytest.mark.parametrize(("rules", "verdict"), [((), "allow"), ((("block", "com/"),), "block")])
