@@ -4,7 +4,8 @@ from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: The counts, the base rules, and the cross-document line frequency, over whole texts.
+#: The counts, the base rules, and the cross-document line frequency, over whole texts. A line counts once for each different document: documents whose sets of
+#: normalised lines are equal are copies.
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws FROM d),
@@ -17,10 +18,8 @@ dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM said GRO
 hashed AS (SELECT row, host, len(regexp_extract_all(line, '{WORD}')) AS n,
   ('0x' || left(md5(regexp_replace(translate(array_to_string(regexp_extract_all(line, '{WORD}'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')), 15))::BIGINT AS h FROM said),
 lines AS (SELECT row, host, h, sum(n) AS n FROM hashed GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY h) AS r FROM lines),
-least2 AS (SELECT row, min(CASE WHEN r = 1 THEN h END) AS a, min(CASE WHEN r = 2 THEN h END) AS b FROM ranked GROUP BY row),
-marked AS (SELECT lines.*, CASE WHEN h = a THEN coalesce(b, -1) ELSE a END AS other FROM lines JOIN least2 USING (row)),
-times AS (SELECT host, h, count(DISTINCT other) AS times FROM marked GROUP BY host, h),
+whole AS (SELECT row, string_agg(h::VARCHAR, ' ' ORDER BY h) AS whole FROM lines GROUP BY row),
+times AS (SELECT host, h, count(DISTINCT whole) AS times FROM lines JOIN whole USING (row) GROUP BY host, h),
 hosts AS (SELECT host, count(*) AS documents FROM d GROUP BY host),
 over AS (SELECT host, h FROM times JOIN hosts USING (host) WHERE times > 10 AND times * 100 > documents),
 gone AS (SELECT row, sum(n) AS n_over FROM lines JOIN over USING (host, h) GROUP BY row),

@@ -46,7 +46,7 @@ def plain_quality(rows):
     times, size = defaultdict(set), Counter(s for _, s, _, _ in docs)
     for _, s, _, lines in docs:
         for h in lines:
-            times[s, h].add(min((x for x in lines if x != h), default=-1))
+            times[s, h].add(frozenset(lines))
     out = []
     for i, s, c, lines in docs:
         gone = sum(n for h, n in lines.items() if len(times[s, h]) > quality.MIN_DOCUMENTS and 100 * len(times[s, h]) > quality.MAX_SHARE_PERCENT * size[s])
@@ -84,6 +84,16 @@ def test_copies_are_not_boilerplate(spark):
     assert {r.kept for r in out.collect()} == {True}
 
 
+def test_template_lines_are_counted_by_documents(spark):
+    """Twelve lines in a tenth of a host's documents, each with text of its own, are over the limit; one that a hundredth has is not."""
+    template, rare = [f"template line number {x} of this host" for x in "abcdefghijkl"], "a line in few documents"
+    own = lambda i: " ".join(words(random.Random(i), 60, "abcdefghijklmnopqrstuvwxyz"))
+    texts = ["\n".join([own(i), *(template if i < 100 else []), *([rare] if i % 100 == 0 else [])]) for i in range(1000)]
+    got = {r.doc_id: r for r in quality.assess(frame(spark, [(i, t, "en", "n", 0) for i, t in enumerate(texts)])).collect()}
+    hashes = {quality.line_hash(x.encode())[0] for x in template}
+    assert all(set(r.over or ()) == (hashes if i < 100 else set()) for i, r in got.items())
+
+
 def test_notice_of_many_lines(spark):
     notice = [" ".join(words(random.Random(i), 8, "abcdefgh")) for i in range(40)]
     own = lambda i: " ".join(words(random.Random(1_000 + i), 10 if i < 30 else 300, "ijklmnop"))
