@@ -26,6 +26,11 @@ def smallest(df: DataFrame, n: int, *names: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*names), *names).limit(n)
 
 
+def quoted(name: str) -> str:
+    """A column's name that may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made."""
     where = spark.conf.get("spark.checkpoint.dir", None)

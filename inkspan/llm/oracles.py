@@ -34,7 +34,7 @@ FROM every
 """
 
 OP9 = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
 l AS (SELECT *, coalesce(sum(source_size) OVER (fall ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
   (sum(weight) OVER (fall ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open_weight, (sum(source_size) OVER ())::BIGINT AS total
@@ -42,7 +42,7 @@ l AS (SELECT *, coalesce(sum(source_size) OVER (fall ROWS BETWEEN UNBOUNDED PREC
 c AS (SELECT *, (3 * total - 4 * before) AS rest, (3 * total - 4 * before) * weight >= 4 * source_size * open_weight AS capped FROM l),
 o AS (SELECT rest, open_weight FROM c WHERE NOT capped ORDER BY source_size::DOUBLE / weight, before LIMIT 1),
 t AS (SELECT c.source, source_size, CASE WHEN capped THEN (4 * source_size)::DOUBLE / 2 ELSE (o.rest * weight)::DOUBLE / (2 * o.open_weight)::DOUBLE END AS target FROM c LEFT JOIN o ON true),
-p AS (SELECT d.doc_id, d.size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+p AS (SELECT d.doc_id, d.size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
   CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - start)))::BIGINT AS taken FROM p
 """

@@ -10,7 +10,7 @@ than their length: stretches of text are read from its pieces of PIECE character
 text walks there from its start; arrays grow within blocks of the square root of their length, since an appended element copies them.
 
 Cases: a null or empty text has no spans; repeated rows are judged alike and kept; an empty table gives no rows; extra columns pass
-through, but one named as a result column is replaced; a text of any length is searched whole. Offsets are code points."""
+through, whatever their names (but base and spans are replaced by ``find``); a text of any length is searched whole. Offsets are code points."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.llm.common import quoted
+
 CONTEXT = 50
 PIECE = 4000
 KEEP = 0.5
@@ -153,19 +155,33 @@ def spans_of(text: Column, pieces: Column, kind: Kind, base: bool) -> Column:
     return scored if base else F.filter(scored, lambda s: s["score"] >= KEEP)
 
 
+def _found(text: Column, further: tuple[Kind, ...]) -> tuple[Column, Column, Column]:
+    """pieces, base and more, of a text that is not null: columns to be named _pieces, _base and _more in turn."""
+    digit = text.rlike("[0-9]")
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    join = lambda kinds, base: F.concat(*(spans_of(text, F.col("_pieces"), k, base) for k in kinds))
+    numeric = F.when(digit, join(BASE[1:], True)).otherwise(empty)
+    more = F.when(digit | text.contains("AKIA"), join(further, False)).otherwise(empty) if further else empty
+    return in_pieces(text), F.concat(spans_of(text, F.col("_pieces"), BASE[0], True), numeric), more
+
+
+def _with_spans(df: DataFrame, further: tuple[Kind, ...]) -> DataFrame:
+    """df(..., _text) with _pieces, _base and _spans."""
+    pieces, base, more = _found(F.coalesce("_text", F.lit("")), further)
+    return df.withColumn("_pieces", pieces).withColumn("_base", base).withColumn("_more", more).withColumn("_spans", F.concat("_base", "_more"))
+
+
+def _apart(df: DataFrame, names: list[str], text: str) -> DataFrame:
+    """k0, k1, ... (names) and _text, so that no name of df meets ours."""
+    return df.select(*(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(names)), F.col(quoted(text)).alias("_text"))
+
+
 def find(df: DataFrame, text: str = "text", further: tuple[Kind, ...] = FURTHER) -> DataFrame:
     """df's columns; base (array of kind, start, end, score: the base kinds' spans, by kind, then place) and spans (those and the
     further kinds')."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    digit = whole.rlike("[0-9]")
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    pieces = F.col("_pii_pieces")
-    join = lambda kinds, base: F.concat(*(spans_of(whole, pieces, k, base) for k in kinds))
-    email = spans_of(whole, pieces, BASE[0], True)
-    numeric = F.when(digit, join(BASE[1:], True)).otherwise(empty)
-    more = F.when(digit | whole.contains("AKIA"), join(further, False)).otherwise(empty) if further else empty
-    out = df.drop("base", "spans").withColumn("_pii_pieces", in_pieces(whole)).withColumn("base", F.concat(email, numeric)).withColumn("_pii_more", more)
-    return out.withColumn("spans", F.concat("base", "_pii_more")).drop("_pii_more", "_pii_pieces")
+    names = [c for c in df.columns if c not in ("base", "spans")]
+    out = _with_spans(_apart(df, names, text), further)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -177,11 +193,11 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Writes [KIND] over every span of find(); of spans that overlap, the one that begins first (then the longest) names all."""
-    order = F.array_sort(F.col(spans), lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
+def _masked() -> Column:
+    """Of _text, _pieces and _spans: [KIND] over every span."""
+    order = F.array_sort(F.col("_spans"), lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
 
-    pieces = F.col("_pii_pieces")
+    pieces = F.col("_pieces")
     none = F.expr("cast(array() as array<string>)")
 
     def step(state: Column, s: Column) -> Column:
@@ -194,7 +210,24 @@ def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
         written = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step)
         return F.transform(F.array(written), lambda w: F.struct(w["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(w["out"], ""))).alias("out")))[0]
 
-    tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
+    tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.length("_text")))
     masked = F.aggregate(in_blocks(order), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), block, tail)
-    cut = df.withColumn("_pii_pieces", in_pieces(F.coalesce(F.col(text), F.lit(""))))
-    return cut.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("_pii_pieces")
+    return F.when(F.size("_spans") > 0, masked).otherwise(F.col("_text"))
+
+
+def _with_text(out: DataFrame, names: list[str], text: str, n_chars: str) -> DataFrame:
+    own = {text: F.col("_masked")} | ({n_chars: F.length("_masked").cast("long")} if n_chars in names else {})
+    return out.select(*(own.get(c, F.col(f"k{i}")).alias(c) for i, c in enumerate(names)))
+
+
+def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """df's columns, with [KIND] written over every span of find(); of spans that overlap, the one that begins first (then the longest) names all."""
+    names = df.columns
+    cut = _apart(df, names, text).withColumn("_spans", F.col(f"k{names.index(spans)}")).withColumn("_pieces", in_pieces(F.coalesce("_text", F.lit(""))))
+    return _with_text(cut.withColumn("_masked", _masked()), names, text, "")
+
+
+def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars", further: tuple[Kind, ...] = FURTHER) -> DataFrame:
+    """df's columns, whatever their names, with the personal data in its texts masked. n_chars, if there is such a column, is counted anew."""
+    names = df.columns
+    return _with_text(_with_spans(_apart(df, names, text), further).withColumn("_masked", _masked()), names, text, n_chars)

@@ -19,13 +19,14 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches, stage, text_bytes, tidy
+from inkspan.llm.common import quoted, small_batches, stage, text_bytes, tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -70,21 +71,23 @@ def measure(text: bytes) -> tuple[dict[str, int], list[dict[str, int]]]:
 
 
 @tidy
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], carry: bool) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
     for batch in batches:
         found = [measure(t or b"") for t in text_bytes(batch.column(batch.num_columns - 1))]
         counts = [pa.array([c[name] for c, _ in found], pa.int64()) for name in COUNTS]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, pa.array([x for _, x in found], kind)], names=[*batch.schema.names[:-1], *COUNTS, "lines"])
+        end = batch.num_columns - (not carry)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:end], *counts, pa.array([x for _, x in found], kind)], names=[*batch.schema.names[:end], *COUNTS, "lines"])
 
 
-def assess(df: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., the five counts, n_words_over (long: words in lines over the limit), base_failed, kept (boolean) and over (the hashes
-    of those lines; null if none)."""
+def _assessed(df: DataFrame, text: str, host: str, keep: tuple[str, ...], carry: bool) -> DataFrame:
+    """k0, k1, ... (keep), text if it is to be carried, the five counts, n_words_over, base_failed, kept, over."""
     small_batches(df.sparkSession)
-    source = df.select(*(df[c].alias(f"k{i}") for i, c in enumerate(keep)), df[host].cast("string").alias("host"), df[text].alias("text"))
-    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("lines", _LINES)])
-    base = stage(source.mapInArrow(_measured, schema).withColumn("row", F.monotonically_increasing_id()))
+    of = lambda c: F.col(quoted(c))
+    source = df.select(*(of(c).alias(f"k{i}") for i, c in enumerate(keep)), of(host).cast("string").alias("host"), of(text).alias("text"))
+    fields = source.schema.fields if carry else source.schema.fields[:-1]
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("lines", _LINES)])
+    base = stage(source.mapInArrow(partial(_measured, carry=carry), schema).withColumn("row", F.monotonically_increasing_id()))
     host_key = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("")).alias("host")
     rows = base.select("row", host_key, "lines", F.xxhash64(F.array_sort("lines.h")).alias("whole"))
     lines = rows.select("row", "host", "whole", F.explode("lines").alias("line")).select("row", "host", "whole", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
@@ -95,8 +98,14 @@ def assess(df: DataFrame, text: str = "text", host: str = "source", keep: tuple[
     joined = base.drop("lines", "host").join(found, "row", "left").withColumn("n_words_over", F.coalesce("n_over", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_words_over")) * 100 < F.col("n_words") * MIN_LEFT_PERCENT
-    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
-    return joined.select(*names, *COUNTS, "n_words_over", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "over")
+    return joined.select(*(f"k{i}" for i in range(len(keep))), *(["text"] if carry else []), *COUNTS, "n_words_over", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "over")
+
+
+def assess(df: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep..., the five counts, n_words_over (long: words in lines over the limit), base_failed, kept (boolean) and over (the hashes
+    of those lines; null if none)."""
+    out = _assessed(df, text, host, keep, carry=False)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *COUNTS, "n_words_over", "base_failed", "kept", "over")
 
 
 @tidy
@@ -111,13 +120,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=batch.schema.names[:-1])
 
 
-def clean(df: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
-    """df's columns: the documents kept, without their lines over the limit. Every column goes through assess()."""
+def clean(df: DataFrame, text: str = "text", host: str = "source", n_chars: str = "n_chars") -> DataFrame:
+    """df's columns, whatever their names: the documents kept, without their lines over the limit. n_chars, if there is such a column, is counted anew."""
     names = df.columns
-    judged = assess(df, text, host, tuple(names)).where("kept")
-    rest = [c for c in names if c != text]
-    source = judged.select(*rest, text, "over")
+    rest = tuple(c for c in names if c != text)
+    judged = _assessed(df, text, host, rest, carry=True).where("kept")
+    source = judged.select(*(f"k{i}" for i in range(len(rest))), "text", "over")
     cut = source.mapInArrow(_without, T.StructType([*source.schema.fields[:-1]]))
-    if n_chars in names:
-        cut = cut.withColumn(n_chars, F.length(text).cast("long"))
-    return cut.select(*names)
+    own = {text: F.col("text")} | ({n_chars: F.length("text").cast("long")} if n_chars in rest else {})
+    return cut.select(*((own[c] if c in own else F.col(f"k{rest.index(c)}")).alias(c) for c in names))

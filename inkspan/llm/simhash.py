@@ -13,7 +13,8 @@ anchor whole. A task links the fingerprints of an anchor to the smallest one of
 fingerprints, not pairs. Connected components over these links give the groups.
 
 Cases: a null text is as an empty one and has fingerprint zero, linked like any other; fewer than three words are one shingle;
-repeated rows share a group; an empty table gives no rows; extra columns are dropped by ``fingerprints``."""
+repeated rows share a group; a null id is a document like any other, but names a group only if no other id is there (component_id is then null); an empty
+table gives no rows; extra columns are dropped by ``fingerprints`` and kept by ``one_of_each``."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import small_batches, stage, text_bytes, tidy
+from inkspan.llm.common import quoted, small_batches, stage, text_bytes, tidy
 from inkspan.llm.components import components
 
 SEED = 42
@@ -89,15 +90,16 @@ def text_fingerprints(texts: list[bytes | None]) -> np.ndarray:
 @tidy
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = text_fingerprints(text_bytes(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+        values = text_fingerprints(text_bytes(batch.column(2)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], names=["id", "same", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id (as it is), fp (long: the 64 bits)."""
+    """id (as it is), same (long: equal for equal texts), fp (long: the 64 bits)."""
     small_batches(df.sparkSession)
-    source = df.select(df[id_col].alias("id"), df[text].alias("text"))
-    return source.mapInArrow(_fingerprint, T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
+    of = lambda c: F.col(quoted(c))
+    source = df.select(of(id_col).alias("id"), F.xxhash64(of(text)).alias("same"), of(text).alias("text"))
+    return source.mapInArrow(_fingerprint, T.StructType([*source.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _remainders(poly: int, bits: int) -> np.ndarray:
@@ -238,12 +240,33 @@ def linked(distinct: DataFrame, hot: int = HOT_ANCHOR) -> DataFrame:
     return keyed.repartition(tasks, "key").mapInArrow(_compare, "a long, b long")
 
 
+def _grouped(own: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """own(id, same, fp), staged. (fp, class) of each fingerprint; (class, rep) of each group, rep being the first of its rows: that with the smallest
+    id, null ids last, then by text."""
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "same"))
+    distinct = stage(own.groupBy("fp").agg(first.alias("rep")))
+    groups = components(linked(distinct.select("fp"), hot))
+    classed = stage(distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class")))
+    return classed.select("fp", "class"), stage(classed.groupBy("class").agg(F.min("rep").alias("rep")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT_ANCHOR) -> DataFrame:
     """id_col (long), fingerprint (16 hexadecimal digits), component_id (the smallest id reachable by links)."""
     own = stage(fingerprints(df, id_col, text))
-    distinct = stage(own.groupBy("fp").agg(F.min("id").alias("rep")))
-    groups = components(linked(distinct.select("fp"), hot))
-    classed = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
-    least = stage(classed.groupBy("class").agg(F.min("rep").alias("component_id")))
-    final = stage(classed.join(least, "class").select("fp", "component_id"))
+    classed, first = _grouped(own, hot)
+    final = stage(classed.join(first, "class").select("fp", F.col("rep.id").alias("component_id")))
     return own.join(final, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT_ANCHOR) -> DataFrame:
+    """df's columns, whatever their names: of each group one row, that with the smallest id; ids that are null come last, and of rows with the same id and text
+    the first by their other plain columns stays."""
+    names = df.columns
+    plain = [c.name for c in df.schema.fields if isinstance(c.dataType, T.AtomicType) and c.name != text]
+    of = lambda c: F.col(quoted(c))
+    _, first = _grouped(stage(fingerprints(df, id_col, text)), hot)
+    kept = first.select(F.col("rep.id").alias("kept_id"), F.col("rep.same").alias("kept_same"))
+    order = F.struct(*(of(c).alias(f"o{i}") for i, c in enumerate(plain))) if plain else F.lit(0)
+    rows = df.select(of(id_col).alias("id"), F.xxhash64(of(text)).alias("same"), order.alias("order"), F.struct(*(of(c).alias(f"k{i}") for i, c in enumerate(names))).alias("row"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("same") == F.col("kept_same")))
+    return found.groupBy("id", "same").agg(F.min_by("row", "order").alias("row")).select(*(F.col(f"row.k{i}").alias(c) for i, c in enumerate(names)))

@@ -75,6 +75,9 @@ def test_quality_clean_removes_lines(spark, rows):
     out = {r.doc_id: r for r in quality.clean(frame(spark, every)).collect()}
     assert 500 not in out and "usual terms" not in out[501].text and out[501].n_chars == len(out[501].text)
     assert out[0].text == rows[0][1] if 0 in out else True
+    df = frame(spark, every, True).withColumn("k1", F.lit(7)).withColumn("lines", F.lit(7)).withColumn("text.x", F.lit(7))
+    named = quality.clean(df)
+    assert named.columns == df.columns and all(r.kept == r.over == r.k1 == r.lines == 7 for r in named.collect()) and named.count() == len(out)
     assert quality.clean(frame(spark, every)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
@@ -228,6 +231,28 @@ def test_simhash(spark, rows, hot):
     assert by_row(got) == sorted(((i, f"{f:016x}", groups[i]) for i, f in zip(ids, fps)), key=repr)
 
 
+def test_one_of_each_group(spark, rows):
+    """Every group keeps one row, that with the smallest id; rows without an id are documents too."""
+    more = [*rows, (None, rows[0][1], "en", "n", 5), (None, "all alone " + " ".join(f"q{i}" for i in range(60)), "en", "n", 5), (None, "all alone " + " ".join(f"q{i}" for i in range(60)), "en", "m", 4), (3, rows[0][1], "en", "c", 1)]
+    df = frame(spark, more, True).withColumn("fp", F.lit(7)).withColumn("rep", F.lit(7)).withColumn("same", F.lit(7))
+    out = simhash.one_of_each(df)
+    fps = [plain_fingerprint(r[1]) for r in more]
+    groups, want = plain_groups(range(len(more)), fps), {}
+    for k, r in enumerate(more):
+        want.setdefault(groups[k], []).append(r)
+    first = lambda rs: min(rs, key=lambda r: (r[0] is None, r[0] or 0))[0]
+    assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == Counter(first(rs) for rs in want.values())
+    lone = [r for r in out.collect() if r.doc_id is None]
+    assert [(r.source, r.n_chars) for r in lone] == [("m", 4)]
+    assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_simhash_null_ids(spark):
+    text = " ".join(f"q{i}" for i in range(60))
+    df = frame(spark, [(None, text, None, None, None), (None, text, None, None, None), (4, "other " * 9, None, None, None), (None, "other " * 9, None, None, None)])
+    assert Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == {(None, None): 2, (4, 4): 1, (None, 4): 1}
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT_ANCHOR, 8])
 def test_linked_finds_every_pair(spark, hot):
     """Chains of fingerprints that differ in up to 3 bits, spread anyhow, crowded round a few centres, and signs of every kind."""
@@ -349,12 +374,40 @@ def test_mixing(spark, rows):
     assert by_row(mixing.mix(frame(spark, rows))) == sorted(map(tuple, got), key=repr)
 
 
-def test_materialise(spark, rows):
-    names = tuple(c.split()[0] for c in SCHEMA.split(", "))
-    mixed = mixing.mix(frame(spark, rows), keep=names)
-    want = sum(r.taken for r in mixed.collect())
-    out = mixing.materialise(mixed)
-    assert out.columns == list(names) and sum(len(tokens(r.text)) for r in out.collect()) == want
+def test_mixture(spark, rows):
+    want = sum(r.taken for r in mixing.mix(frame(spark, rows)).collect())
+    df = frame(spark, rows, True).withColumn("taken", F.lit(7)).withColumn("target", F.lit(7)).withColumn("cut_words", F.lit(7))
+    out = mixing.mixture(df)
+    assert out.columns == df.columns and sum(len(tokens(r.text)) for r in out.collect()) == want
+    assert all(r.taken == r["size"] == r.cut_words == 7 and r.n_chars == len(r.text) for r in out.collect())
+
+
+@pytest.mark.parametrize("hot", [mixing.HOT_KEY, 5])
+def test_mixing_of_repeated_ids(spark, hot):
+    """Rows without an id, and one id for many rows, of one size and of several; a few are hot, and all places are still taken once."""
+    made = [(None, " ".join(["w"] * (1 + i % 40)), "en", "a", 0) for i in range(60)] + [(7, "x y z", "en", "a", 0)] * 50 + [(8, " ".join("v" * (i % 3 + 1)), "en", "b", 0) for i in range(40)]
+    got = mixing.mix(frame(spark, made), hot=hot).collect()
+    sizes, taken = Counter(), Counter()
+    for _, t, _, s, _ in made:
+        sizes[s] += len(tokens(t))
+    target = plain_targets(dict(sizes))
+    for r in got:
+        s = "a" if r.source_size == sizes["a"] else "b"
+        taken[s] += r.taken
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert len(got) == len(made) and all(taken[s] == int(target[s] + 1e-9) for s in sizes)
+    assert by_row(mixing.mix(frame(spark, made), hot=hot)) == sorted(map(tuple, got), key=repr)
+
+
+def test_mixing_takes_any_share(spark, rows):
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(tokens(t))
+    target = plain_targets(dict(sizes), share=1.3, cap=1.7)
+    got = mixing.mix(frame(spark, rows), share=1.3, cap=1.7, keep=("source",)).collect()
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
+    with pytest.raises(ValueError, match="fraction"):
+        mixing.mix(frame(spark, rows), share=2**0.5)
 
 
 # 10 PII
@@ -428,6 +481,16 @@ def test_pii_context_decides(spark):
     assert {r.doc_id: len(r.spans) for r in pii.find(df).collect()} == {1: 1, 2: 0}
 
 
+def test_pii_keeps_other_columns(spark):
+    df = frame(spark, [(1, PII_TEXTS[2], None, None, None)], True)
+    for name in ("_text", "_pieces", "_spans", "_more", "_masked", "k1"):
+        df = df.withColumn(name, F.lit(7))
+    out = pii.redact(df)
+    row = out.first()
+    assert out.columns == df.columns and row.text == "😀 é [EMAIL] 😀 [PHONE] 😀 [CARD]" and row.n_chars == len(row.text) and row.base == row.spans == row._masked == row.k1 == 7
+    assert pii.find(df).columns == [*(c for c in df.columns if c not in ("base", "spans")), "base", "spans"]
+
+
 def test_pii_mask(spark):
     df = frame(spark, [(1, PII_TEXTS[2], None, None, None), (2, "none", None, None, None), (3, None, None, None, None)])
     got = {r.doc_id: r.text for r in pii.mask(pii.find(df)).collect()}
@@ -441,5 +504,5 @@ def test_empty_tables(spark):
     df = frame(spark, [])
     ranks, pattern = vocabulary()
     model = langid.train(df, F.lit(True))
-    for out in (quality.assess(df), quality.clean(df), bpe.decode(bpe.encode(df, ranks, pattern), ranks), langid.predict(df, model), simhash.near_duplicates(df), windows.remove_repeats(df), mixing.mix(df), pii.mask(pii.find(df))):
+    for out in (quality.assess(df), quality.clean(df), simhash.one_of_each(df), pii.redact(df), mixing.mixture(df), bpe.decode(bpe.encode(df, ranks, pattern), ranks), langid.predict(df, model), simhash.near_duplicates(df), windows.remove_repeats(df), mixing.mix(df), pii.mask(pii.find(df))):
         assert out.collect() == []

@@ -322,3 +322,24 @@ def test_pipeline_against_plain(spark, tmp_path):
                 ids = plain.plain_bpe(x)
                 want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()] += 1
     assert got == want
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """No rows; every extra column whose name the stages use inside; ids that are null."""
+    import corpus_pipeline
+
+    frame(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    rows = [(None if i % 4 == 0 else i, " ".join(f"{chr(97 + i)}{k}" for k in range(60)), "en", "ab"[i % 2], 1) for i in range(20)]
+    df = frame(spark, rows, True)
+    for name in ("taken", "target", "cut_words", "written", "_text", "_pieces", "_pii_pieces", "_masked", "lines", "fp", "rep", "same", "order", "kept_id", "n_words_over", "part", "offset", "s", "k1", "mix_id", "place"):
+        df = df.withColumn(name, F.lit(7))
+    df.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns, name
+        if name != "mix_sources":
+            assert docs.count() == len(rows) and docs.where("doc_id is null").count() == 5, name
+    assert docs.where("doc_id is null").count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() == docs.count()
