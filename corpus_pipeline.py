@@ -2,17 +2,18 @@
 
 Quality rules drop documents and lines; SimHash near-dedup keeps the document of each group with the smallest id; PII is masked; sources are
 mixed to their target weights (whole epochs, and one document cut where the budget ends); the mix is encoded by byte-level BPE. All stages but the
-last return the columns of documents. A document that the mix repeats is encoded as often."""
+last return the columns of documents. A document that the mix repeats is encoded as often.
+
+Cases: null texts and short ones fail the base rules; a null id is an id of its own, which every stage keeps; a null source is a source; repeated rows are near
+copies of each other; an empty table gives no rows; further columns pass through all stages but the last, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from inkspan.llm import mixing, pii, quality
+from inkspan.llm import mixing, pii, quality, simhash
 from inkspan.llm.common import stage
 from inkspan.llm.queries import bpe_digests
-from inkspan.llm.simhash import near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,21 +22,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of rows that repeat this id one stays, the first by its columns."""
-    names = docs.columns
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id").select(F.struct(*names).alias("row"))
-    return rows.groupBy("row.doc_id").agg(F.min("row").alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in names))
+    """One document of each group stays, that with the smallest id (null ids last); of rows that repeat its id and text, one."""
+    return simhash.one_of_each(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask(pii.find(docs))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = tuple(docs.columns)
-    return mixing.materialise(mixing.mix(docs, keep=names)).select(*names)
+    return mixing.mixture(docs)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
