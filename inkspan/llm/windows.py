@@ -2,7 +2,7 @@
 
 Every word has two random numbers (XXH64 under two seeds). A window's hash is a pair: a polynomial over its words' first numbers modulo
 the prime 2**61 - 1, and the upper half of one over their second numbers modulo 2**64. Hashes of windows of 2, 4, 8 ... words are made from those of half
-the length, and joined to the length asked for. A task packs some 16 million characters of documents into a
+the length, and joined to the length asked for. A task packs some 12 million characters of documents into a
 chunk and sends the chunk's distinct window hashes, sorted, to buckets of the hash range. The task of a bucket counts in how
 many chunks each hash stands and answers every chunk with those found elsewhere; repeats inside a chunk show in the chunk itself.
 Back at the chunk, which never moved (it is staged in buckets and cogrouped in place), windows with a repeated hash are merged
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from inkspan.llm.common import chunk_id, give_back, pack_sorted, pack_table, partitions_for, small_batches, stage_bucketed, text_bytes, tidy, unpack_sorted, unpack_table
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 BLOCK_WORDS = 200_000
 PIECE_WORDS = 100_000
 BUCKET_WINDOWS = 3_000_000
@@ -108,6 +108,7 @@ def text_hashes(texts: list[list[bytes]], size: int) -> Iterator[tuple[int, int,
                 block, held = [], []
     if block:
         yield from run()
+        block, held = [], []
 
 
 def distinct(pairs: Pairs) -> tuple[Pairs, np.ndarray]:
@@ -230,6 +231,7 @@ def _remove(left: pa.Table, right: pa.Table, size: int, names: list[str]) -> pa.
     (a, b), many = distinct(joined([h for _, _, h in found]))
     repeated, _ = distinct(joined([(a[many > 1], b[many > 1]), *(_unpacked(x.as_py()) for x in right.column("hashes"))]))
     del a, b, many
+    give_back()
     covered: dict[int, np.ndarray] = {}
     for text, word, h in found:
         hits = np.flatnonzero(among(h, repeated)) + word
@@ -238,7 +240,9 @@ def _remove(left: pa.Table, right: pa.Table, size: int, names: list[str]) -> pa.
             steps[hits] += 1
             steps[hits + size] -= 1
     kept, removed, spans = [], [], []
-    for t, words in enumerate(texts):
+    n_words = [len(w) for w in texts]
+    for t in range(len(texts)):
+        words, texts[t] = texts[t], None  # each text's words go as soon as they are written
         if t in covered:
             out = np.cumsum(covered[t][:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
@@ -251,9 +255,9 @@ def _remove(left: pa.Table, right: pa.Table, size: int, names: list[str]) -> pa.
             kept.append(b" ".join(words))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     columns = [docs.column(c) for c in range(docs.num_columns - 1)]
-    del found, repeated, covered
+    del found, repeated, covered, docs
     give_back()
-    return pa.table([*columns, pa.array([len(w) for w in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
+    return pa.table([*columns, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
 
 def remove_repeats(df: DataFrame, size: int = 35, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
