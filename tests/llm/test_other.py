@@ -225,7 +225,7 @@ def test_embedding_links(spark, k):
     vectors += [list(map(float, base[0] + 0.15 * rng.standard_normal(16))) for _ in range(40)]  # a crowd
     vectors += [vectors[3]] * 5 + [[2 * x for x in vectors[3]]]  # copies, and one of another length
     vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 8, [1.0] * 8]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, node int, unit int").repartition(3)
+    df = spark.createDataFrame([(i, v, *range(1, 6)) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, node int, unit int, v int, id int, many int").repartition(3)
     links = plain_links(vectors)
     label = list(range(len(vectors)))
     for _ in label:
@@ -260,11 +260,37 @@ def test_crowd_does_not_outweigh_pairs(spark):
     nodes = spark.createDataFrame([(i, 1, u.astype("<f8").tobytes()) for i, u in enumerate(unit)], "node long, many long, unit binary")
     true = [len(x) for x in plain_links([list(v) for v in vectors])]
     links = lambda least: spark.createDataFrame([(i, k) for i, k in enumerate(true) if k >= least], "node long, links long")
-    assert neighbors.recall(nodes, len(unit), links(1), 0.9) == 1.0
-    share = neighbors.recall(nodes, len(unit), links(50), 0.9)  # every isolated pair is missed
+    assert neighbors.recall(nodes, len(unit), links(1), 0.9) == (1.0, len(unit))
+    share, _ = neighbors.recall(nodes, len(unit), links(50), 0.9)  # every isolated pair is missed
     assert share < 0.5, f"share {share:.4f}"
 
 
+def test_audit_of_any_size(spark):
+    """However many nodes there are said to be, some are asked; where links are rare, more are, and where none is found, that is seen."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1000, 32))
+    unit = np.vstack([base, base[:50] + 0.01 * rng.standard_normal((50, 32))])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, 1, u.astype("<f8").tobytes()) for i, u in enumerate(unit)], "node long, many long, unit binary")
+    none = spark.createDataFrame([], "node long, links long")
+    for n in (len(unit), 3 * 10**8, 10**12):
+        assert neighbors.recall(nodes, n, none, 0.9, sample=16) == (0.0, 100)
+    some = spark.createDataFrame([(0, 1), (1000, 1)], "node long, links long")
+    assert neighbors.recall(nodes, 10**12, some, 0.9, sample=16, limit=16)[1] >= 2
+
+
+def test_groups_that_touch(spark):
+    """Two crowds, each of more vectors than a list holds, whose edges link: the lists of either may not name the other."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    turn = lambda x: np.cos(x) * a + np.sin(x) * b
+    vectors = np.vstack([turn(x) + 0.01 * rng.standard_normal(32) for x in (0.0, 0.44) for _ in range(60)] + [rng.standard_normal(32) for _ in range(80)])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbors.near_duplicates(df).collect()}
+    true = [len(x) for x in plain_links([list(v) for v in vectors])]
+    assert max(true) > 60 and sum(min(got[i], t) for i, t in enumerate(true)) >= 0.95 * sum(true) and all(got[i] <= t for i, t in enumerate(true))
+
+
 # components
 
 
