@@ -2,7 +2,7 @@
 
 Equal vectors are one node with a multiplicity. Neighbour lists of K begin in the leaves of random-hyperplane trees, more trees for more nodes, and are refined by
 joins of neighbours of neighbours: the list of a node and the nodes that list it meet, and each learns of the others that are nearer than its
-own last one; only entries that are new since the last round meet again, until fewer than SETTLED of all entries change. Links are the list entries whose
+own last one; only entries that are new since the last round meet again, until fewer than SETTLED of the entries near the threshold change. Links are the list entries whose
 cosine in double precision reaches the threshold.
 
 A list that is full of links is saturated: there may be more. Saturated lists are enlarged together: saturated nodes that links connect are a group, and every
@@ -42,7 +42,7 @@ TREES = 6
 NODES_OF_TREES = 50_000
 LEAF = 128
 ROUNDS = 10
-SETTLED = 0.002
+SETTLED = 0.005
 #: Entries whose cosine falls short of the threshold by less name candidates of a group.
 MARGIN = 0.1
 GRID_ROWS = 2048
@@ -231,8 +231,8 @@ def _tasks(n: int, each: int) -> int:
     return int(max(8, -(-n // each)))
 
 
-def neighbour_lists(nodes: DataFrame, n: int, k: int, trees: int, rounds: int) -> DataFrame:
-    """(node, other, sim, fresh): staged, up to k entries a node."""
+def neighbour_lists(nodes: DataFrame, n: int, k: int, trees: int, rounds: int, close: float) -> DataFrame:
+    """(node, other, sim, fresh): staged, up to k entries a node; refined until few of the entries of at least the similarity close change."""
     trees += max(0, math.ceil(math.log2(max(n, 1) / NODES_OF_TREES)))
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     leaves = nodes.select("node", "dim", "half").mapInArrow(partial(_leaves, trees=trees, bits=bits), "leaf long, node long, half binary")
@@ -250,7 +250,8 @@ def neighbour_lists(nodes: DataFrame, n: int, k: int, trees: int, rounds: int) -
         met = forth.unionByName(back).join(known, "member").repartition(_tasks(n, 10_000), "center").mapInArrow(partial(_meet, k=k), _LISTS)
         turned = lists.where("fresh").select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "fresh")
         lists = merge(lists.withColumn("fresh", F.lit(False)).unionByName(turned).unionByName(met))
-        if lists.where("fresh").count() <= SETTLED * n * k:
+        changed, every = lists.where(F.col("sim") >= close).agg(F.count_if("fresh"), F.count("*")).first()
+        if changed <= SETTLED * every:
             break
     return lists
 
@@ -269,7 +270,7 @@ def _near_groups(nodes: DataFrame, members: DataFrame, threshold: float, k: int,
     angles = _with_units(members, nodes, "node", "leader").select("leader", "ua", "ub").mapInArrow(_angles, "leader long, angle double")
     radii = stage(angles.groupBy("leader").agg(F.max("angle").alias("radius")))
     seeds = stage(nodes.join(radii.select(F.col("leader").alias("node")), "node", "left_semi"))
-    lists = neighbour_lists(seeds, seeds.count(), 2 * k, trees, rounds)
+    lists = neighbour_lists(seeds, seeds.count(), 2 * k, trees, rounds, threshold - MARGIN)
     of = lambda x: radii.select(F.col("leader").alias(x), F.col("radius").alias(f"radius_{x}"))
     reach = F.cos(F.least(F.lit(math.pi), F.col("radius_a") + F.col("radius_b") + math.acos(threshold)))
     near = _both_ways(lists.select(F.col("node").alias("a"), F.col("other").alias("b"), "sim").join(of("a"), "a").join(of("b"), "b").where(F.col("sim") >= reach - 0.01))
@@ -295,7 +296,7 @@ def _enlarged(nodes: DataFrame, n: int, members: DataFrame, beside: DataFrame, n
 
 def links_of(nodes: DataFrame, n: int, threshold: float, k: int, trees: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(node, links): how many vectors a node links with, beside its own copies; (a, b): links with the same components as all."""
-    lists = neighbour_lists(nodes, n, k, trees, rounds)
+    lists = neighbour_lists(nodes, n, k, trees, rounds, threshold - MARGIN)
     close = lists.where(F.col("sim") >= threshold - 0.01)
     saturated = stage(close.groupBy("node").agg(F.count("*").alias("full")).where(F.col("full") >= k).select("node"))
     ends = close.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
