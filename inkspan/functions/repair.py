@@ -20,13 +20,18 @@ def repair_text(c: Column) -> Column:
     """In this order: lost characters go, joined words part, O and l between digits (O also at the head of a decimal) are 0 and 1, 0Z is a
     percent sign, and wide gaps between digits shrink to a blank."""
     swap = lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1]))
-    text = reduce(swap, JOINED.items(), F.replace(c, F.lit(LOST), F.lit("")))
-    for pattern, put in ((r"(?U)(?<=\d)[Oo](?=\d)", "0"), (r"(?U)\b[Oo](\d+[,.]\d+)\b", "0$1"), (r"(?U)(?<=\d)l(?=\d)", "1")):
-        text = F.regexp_replace(text, pattern, put)
+    parted = F.when(c.rlike("|".join([LOST, *JOINED])), reduce(swap, JOINED.items(), F.replace(c, F.lit(LOST), F.lit("")))).otherwise(c)
 
     def percent(x: Column) -> Column:
         upper = F.upper(x)
         taxed = reduce(lambda a, b: a | b, (F.contains(upper, F.lit(w)) for w in TAX_WORDS))
         return F.when(taxed, F.regexp_replace(x, r"(?U)\b(\d+)0Z\b", "$1%")).otherwise(F.regexp_replace(x, r"(?U)\b(\d{1,2})0Z\b", "$1%"))
 
-    return F.regexp_replace(let(text, percent), r"(?U)(\d)\s{2,}(\d)", "$1 $2")
+    def digits(x: Column) -> Column:
+        text = x
+        for pattern, put in ((r"(?U)(?<=\d)[Oo](?=\d)", "0"), (r"(?U)\b[Oo](\d+[,.]\d+)\b", "0$1"), (r"(?U)(?<=\d)l(?=\d)", "1")):
+            text = F.regexp_replace(text, pattern, put)
+        return F.regexp_replace(let(text, percent), r"(?U)(\d)\s{2,}(\d)", "$1 $2")
+
+    # all that is left to do stands beside a digit
+    return let(parted, lambda x: F.when(x.rlike(r"(?U)\d"), digits(x)).otherwise(x))

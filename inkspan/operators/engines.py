@@ -124,7 +124,7 @@ def _gemini(key: str = "", model: str = "gemini-2.5-flash", url: str = "https://
 
 
 def _offline(**_) -> Callable[[str, str], str]:
-    return lambda system, user: read_labels(user.partition("OCR Text:\n")[2])
+    return lambda system, user: read_labels(user.partition(prompts.TEXT_MARK)[2])
 
 
 EXTRACTORS: dict[str, Callable[..., Callable[[str, str], str]]] = {"labels": _offline, "ollama": _ollama, "gemini": _gemini}

@@ -24,9 +24,8 @@ def blocks(text_blocks: Column, repair: bool = True) -> Column:
     return F.transform(F.filter(placed, lambda b: b["text"] != ""), named)
 
 
-_BLOCK = "struct<text:string,x_min:double,y_min:double,x_max:double,y_max:double,at:int>"
+_PLACE = "struct<x:double,n:int,k:int>"
 _MIDDLE = "(b.y_min + b.y_max) / 2"
-_SORTED = "array_sort({0}, (a, b) -> case when a.{1} < b.{1} then -1 when a.{1} > b.{1} then 1 else a.at - b.at end)"
 
 
 def _median(values: str) -> str:
@@ -37,15 +36,17 @@ def _median(values: str) -> str:
 def rows(of: str = "blocks", tolerance: float = TOLERANCE) -> Column:
     """array of rows, each an array of blocks from left to right. Blocks go from top to bottom; one joins the row while its middle is near the median of
     the row's middles, near being a share of the mean height of blocks that have one (20 if none has)."""
-    by_y = _SORTED.format(of, "y_min")
+    # only places are sorted and folded, by their natural order: top edge, then place in the page; in a row left edge, then turn
+    sorted_ = f"array_sort(transform({of}, (b, i) -> named_struct('y', b.y_min, 'k', i, 'x', b.x_min, 'm', {_MIDDLE})))"
     heights = f"transform(filter({of}, b -> b.y_max > b.y_min), b -> b.y_max - b.y_min)"
     near = f"{tolerance}D * coalesce(aggregate({heights}, 0D, (s, h) -> s + h) / nullif(size({heights}), 0), 20D)"
-    begin = f"named_struct('rows', cast(array() as array<array<{_BLOCK}>>), 'row', cast(array() as array<{_BLOCK}>), 'y', 0D, 'near', {near})"
-    joined = f"named_struct('rows', s.rows, 'row', concat(s.row, array(b)), 'y', {_median('transform(concat(s.row, array(b)), c -> (c.y_min + c.y_max) / 2)')}, 'near', s.near)"
-    parted = f"named_struct('rows', case when size(s.row) > 0 then concat(s.rows, array(s.row)) else s.rows end, 'row', array(b), 'y', {_MIDDLE}, 'near', s.near)"
-    step = f"(s, b) -> case when size(s.row) > 0 and abs({_MIDDLE} - s.y) <= s.near then {joined} else {parted} end"
+    begin = f"named_struct('rows', cast(array() as array<array<{_PLACE}>>), 'row', cast(array() as array<{_PLACE}>), 'middles', cast(array() as array<double>), 'n', 0, 'y', 0D, 'near', {near})"
+    place = "named_struct('x', b.x, 'n', s.n, 'k', b.k)"
+    joined = f"named_struct('rows', s.rows, 'row', concat(s.row, array({place})), 'middles', concat(s.middles, array(b.m)), 'n', s.n + 1, 'y', {_median('concat(s.middles, array(b.m))')}, 'near', s.near)"
+    parted = f"named_struct('rows', case when size(s.row) > 0 then concat(s.rows, array(s.row)) else s.rows end, 'row', array({place}), 'middles', array(b.m), 'n', s.n + 1, 'y', b.m, 'near', s.near)"
+    step = f"(s, b) -> case when size(s.row) > 0 and abs(b.m - s.y) <= s.near then {joined} else {parted} end"
     end = "s -> case when size(s.row) > 0 then concat(s.rows, array(s.row)) else s.rows end"
-    return F.expr(f"transform(aggregate({by_y}, {begin}, {step}, {end}), r -> {_SORTED.format('r', 'x_min')})")
+    return F.expr(f"transform(aggregate({sorted_}, {begin}, {step}, {end}), r -> transform(array_sort(r), p -> {of}[p.k]))")
 
 
 def is_tabular(row: str) -> str:

@@ -15,7 +15,7 @@ from inkspan.functions.metrics import character_error_rate, fields_match, word_e
 from inkspan.functions.repair import repair_text
 from inkspan.operators import analytics, evaluation, image_quality, jobs, layout
 from inkspan.operators import benchmark as ab
-from inkspan.plans.derived import view
+from inkspan.plans.derived import spread, view
 from inkspan.schemas import IN_FLIGHT
 
 NOW = "1998-08-02 00:20:00"
@@ -287,9 +287,8 @@ def final_output_json(spark, sf_dir):
 
 
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text as ground truth, and a prediction with misreadings. The view of this name, which DuckDB's SQL reads, has the first 160
-    characters of English texts."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every document's whole text as ground truth, and a prediction with misreadings."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     misread = F.col("text")
     for right, wrong in (("the ", "teh "), ("on", "0n"), ("ll", "l")):
         misread = F.replace(misread, F.lit(right), F.lit(wrong))
@@ -308,6 +307,17 @@ def wer(spark, sf_dir):
     return p.select("doc_id", F.round(word_error_rate(F.col("prediction"), F.col("truth")), 9).alias("wer"))
 
 
+@query
+def cer_names(spark, sf_dir):
+    """The same rates for all names of parts and clients, which SQL can follow."""
+    return view(spark, sf_dir, "name_pairs").select("id", F.round(character_error_rate(F.col("prediction"), F.col("truth")), 9).alias("cer"))
+
+
+@query
+def wer_names(spark, sf_dir):
+    return view(spark, sf_dir, "name_pairs").select("id", F.round(word_error_rate(F.col("prediction"), F.col("truth")), 9).alias("wer"))
+
+
 @query
 def field_exact_match(spark, sf_dir):
     i = view(spark, sf_dir, "invoices")
@@ -331,7 +341,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", r"\s+")
     box = lambda w, i: F.array((i % 8) * 120, F.floor(i / 8).cast("int") * 24 + (i % 3) * 3, (i % 8) * 120 + 8 * F.length(w), F.floor(i / 8).cast("int") * 24 + (i % 3) * 3 + 20)
     made = F.transform(words, lambda w, i: F.struct(w.alias("text"), F.lit(0.9).alias("confidence"), box(w, i).alias("bbox")))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", made.alias("text_blocks"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", made.alias("text_blocks"))
 
 
 @query
@@ -342,12 +352,12 @@ def row_cluster(spark, sf_dir):
 
 @query
 def layout_text(spark, sf_dir):
-    return layout.reconstruct(pages(spark, sf_dir)).select("doc_id", "raw_text")
+    return layout.reconstruct(pages(spark, sf_dir)).select("doc_id", F.length("raw_text").alias("n_chars"), F.md5(F.col("raw_text").cast("binary")).alias("digest"))
 
 
 @query
 def flat_text(spark, sf_dir):
-    return pages(spark, sf_dir).select("doc_id", F.md5(layout.flat_text(F.col("text_blocks"), False).cast("binary")).alias("digest"))
+    return pages(spark, sf_dir).select("doc_id", F.md5(layout.flat_text(F.col("text_blocks")).cast("binary")).alias("digest"))
 
 
 @query

@@ -76,8 +76,9 @@ def sql(name: str, duck: bool = False) -> str:
     if name == "noisy":
         plain = "concat('Netprice ', cast(l_partkey as string), ' x', cast(l_extendedprice as string), CASE WHEN l_linenumber % 2 = 0 THEN ' VAT ' ELSE ' at ' END, cast(l_suppkey as string), '0Z  Grossworth ', cast(l_orderkey as string), '   ', cast(l_quantity as string))"
         return f"SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_orderkey % 3 = 0 THEN replace({plain}, '0', 'O') WHEN l_orderkey % 3 = 1 THEN replace({plain}, '1', 'l') ELSE {plain} END AS raw FROM {t['lineitem']}"
-    if name == "ocr_pairs":
-        return f"SELECT doc_id, substr(text, 1, 160) AS truth, replace(replace(replace(substr(text, 1, 160), 'the ', 'teh '), 'on', '0n'), 'll', 'l') AS prediction FROM {t['documents']} WHERE lang = 'en'"
+    if name == "name_pairs":  # whole names of parts and clients, and what OCR might read
+        names = f"SELECT concat('p', cast(p_partkey as string)) AS id, concat(p_name, ' ', p_type, ' on the wall ', p_brand) AS truth FROM {t['part']} UNION ALL SELECT concat('c', cast(c_custkey as string)), concat(c_name, ' all in the ', c_mktsegment, ' ', cast(c_nationkey as string)) FROM {t['customer']}"
+        return f"SELECT id, truth, CASE WHEN length(id) % 3 = 0 THEN concat(substr(truth, 4), ' x') ELSE replace(replace(replace(replace(truth, 'the ', 'teh '), 'on', '0n'), 'll', 'l'), '0', 'O') END AS prediction FROM ({names}) n"
     if name == "line_items":
         return f"SELECT l_orderkey, l_linenumber, {_money('cast(round(l_extendedprice * 100) as bigint)', '(l_orderkey % 4)')} AS item_net_worth, l_extendedprice FROM {t['lineitem']}"
     if name == "pixels":  # 16 by 16 pictures, a background of one level and a darker pattern
@@ -89,6 +90,14 @@ def sql(name: str, duck: bool = False) -> str:
     raise KeyError(name)
 
 
+def spread(df: DataFrame, key: str, each: int = 16 << 20) -> DataFrame:
+    """df over at least twice as many tasks as there are cores, for work that costs far more by byte than moving it: a table of few row groups, or some very
+    long texts, would keep most cores idle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, min(100_000, -(-size // each)))
+    return df.repartition(tasks, key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = sql(name)
     used = {x: spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in TABLES if "{" + x + "}" in text}

@@ -9,6 +9,7 @@ def _strings(*names: str, required: tuple[str, ...] = ()) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), n not in required) for n in names])
 
 
+#: The fields of the records, and which of them must be there.
 HEADER = _strings("invoice_no", "invoice_date", "seller", "client", "seller_tax_id", "client_tax_id", "iban")
 ITEM = _strings("item_desc", "item_qty", "item_net_price", "item_net_worth", "item_vat", "item_gross_worth")
 SUMMARY = _strings("total_net_worth", "total_vat", "total_gross_worth")

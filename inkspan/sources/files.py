@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: what counts as a picture in a benchmark's folder.
@@ -34,6 +34,17 @@ def with_truths(images: DataFrame, texts: DataFrame) -> DataFrame:
     return images.join(texts, "stem", "left").withColumn("truth", F.coalesce("truth", F.lit("")))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds _n: the row's number from 0, in the order of files and of rows within them. Rows are numbered within their partition; how many stand in the
+    partitions before is a sum over one row a partition."""
+    marked = rows.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 def dataset(spark: SparkSession, folder: str, split: str = "test", limit: int | None = None) -> DataFrame:
     """Rows of a dataset's split: image (bytes), id (its own, else hf_ and the row's number) and ground_truth (JSON text: what is JSON as it is, other text under raw,
     nothing as an empty object)."""
@@ -41,7 +52,7 @@ def dataset(spark: SparkSession, folder: str, split: str = "test", limit: int |
         raise ValueError("limit must be 1 or more")
     rows = spark.read.parquet(f"{folder.rstrip('/')}/{split}")
     rows = rows.limit(limit) if limit else rows
-    numbered = rows.withColumn("_n", F.monotonically_increasing_id())  # dense within a file, as the ids of one file's rows
+    numbered = _numbered(rows)
     own = F.col("id").cast("string") if "id" in rows.columns else F.lit(None).cast("string")
     text = F.col("parsed_data").cast("string") if "parsed_data" in rows.columns else F.lit(None).cast("string")
     truth = F.when(text.isNull(), "{}").when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("raw"))))
@@ -83,4 +94,7 @@ class Objects:
     def listing(self, bucket: str) -> DataFrame:
         """(path, length, content) of all objects of a bucket; path begins with the bucket."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.root}/{bucket}")
-        return found.select(F.regexp_extract("path", f"({bucket}/.*)$", 1).alias("path"), "length", "content")
+        # every path begins with the root as the file system itself writes it
+        path, fs = self._at(bucket, "")
+        start = len(fs.makeQualified(path.getParent()).toString().rstrip("/")) + 2
+        return found.select(F.substring("path", start, 1 << 30).alias("path"), "length", "content")
