@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,10 @@ def has_text(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once: a plain Column used twice is written out, and run, twice."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns, for a step of many long expressions. Whole-stage code would put all of them into one method, which the JVM does not compile beyond 8,000
+    bytes of code; a bound value keeps the step out of it, and its expressions get methods of their own."""
+    first = next(iter(columns))
+    return df.withColumns({**columns, first: let(columns[first], lambda x: x)})

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from inkspan.functions.amounts import TOLERANCE, amounts_match, parse_amount
-from inkspan.functions.dates import dates_match
+from inkspan.functions.amounts import TOLERANCE, bare, close_or_same, number, parse_amount
+from inkspan.functions.dates import same_day, with_days
 from inkspan.functions.invoice_numbers import numbers_match
-from inkspan.functions.text import has_text, let, strip
+from inkspan.functions.text import has_text, let, strip, with_step
 from inkspan.schemas import EXTRACTION, REQUIRED
 
 #: JSON texts that count as nothing.
 NOTHING = ("null", "{}", "[]", '""', "0", "0.0", "-0.0", "false")
-FIELDS = {"invoice_no": ("header", numbers_match), "invoice_date": ("header", dates_match), "total_net_worth": ("summary", amounts_match)}
+#: The fields that are compared, and the part of an extraction that holds each.
+FIELDS = {"invoice_no": "header", "invoice_date": "header", "total_net_worth": "summary"}
 
 
 def parse_extraction(raw: Column) -> Column:
@@ -68,51 +69,66 @@ def _python_literal(texts: pd.Series) -> pd.Series:
     return texts.map(read)
 
 
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+def _counts(text: Column) -> Column:
+    """Whether a JSON text says anything."""
+    return F.coalesce(~text.isin(*NOTHING), F.lit(False))
 
 
-def _counts(v: Column) -> Column:
-    return F.coalesce(~F.to_json(v).isin(*NOTHING), F.lit(False))
+def _kind(text: Column, mark: str) -> Column:
+    """Whether a JSON text is of the kind that begins with the mark."""
+    return F.coalesce(text.startswith(mark), F.lit(False))
 
 
 def with_truth(df: DataFrame, ground_truth: str = "ground_truth", python_literals: bool = True) -> DataFrame:
-    """Adds truth (variant: the data to compare with, or null if there is none to be read) and has_truth (boolean: anything was given). The ground truth is
-    JSON text; its data may stand under the key json, itself as a text in JSON or, with python_literals, as a Python literal."""
-    out = df.withColumn("_outer", F.try_parse_json(ground_truth)).withColumn("_json", F.try_variant_get("_outer", "$.json", "variant"))
-    text = F.when(_is(F.col("_json"), "STRING"), F.try_variant_get("_json", "$", "string"))
-    out = out.withColumn("_text", text).withColumn("_inner", F.try_parse_json("_text"))
+    """Adds truth (variant: the data to compare with, or null if there is none to be read), truth_text (that as JSON) and has_truth (boolean: anything was given). The
+    ground truth is JSON text; its data may stand under the key json, itself as a text in JSON or, with python_literals, as a Python literal. Each step is
+    a column of its own: a variant is read, and written out, once."""
+    out = df.withColumn("_outer", F.try_parse_json(ground_truth))
+    out = with_step(out, {"_outer_text": F.to_json("_outer"), "_json": F.try_variant_get("_outer", "$.json", "variant")})
+    out = out.withColumn("_json_text", F.to_json("_json")).withColumn("_quoted", _kind(F.col("_json_text"), '"'))
+    out = out.withColumn("_said", F.when(F.col("_quoted"), F.try_variant_get("_json", "$", "string"))).withColumn("_inner", F.try_parse_json("_said"))
     if python_literals:
-        out = out.withColumn("_inner", F.coalesce("_inner", F.try_parse_json(_python_literal(F.when(F.col("_inner").isNull(), F.col("_text"))))))
-    inside = F.when(_is(F.col("_json"), "STRING"), F.col("_inner")).when(_is(F.col("_json"), "OBJECT"), F.col("_json"))
-    truth = F.when(_counts(F.col("_json")), inside).when(_is(F.col("_outer"), "OBJECT"), F.col("_outer"))
-    return out.withColumn("has_truth", _counts(F.col("_outer"))).withColumn("truth", F.when(_counts(truth), truth)).drop("_outer", "_json", "_text", "_inner")
+        out = out.withColumn("_inner", F.coalesce("_inner", F.try_parse_json(_python_literal(F.when(F.col("_inner").isNull(), F.col("_said"))))))
+    out = out.withColumn("_inner_text", F.to_json("_inner"))
+    counts, whole = _counts(F.col("_json_text")), _kind(F.col("_json_text"), "{")
+    pick = lambda inner, json_, outer: F.when(counts, F.when(F.col("_quoted"), F.col(inner)).when(whole, F.col(json_))).when(_kind(F.col("_outer_text"), "{"), F.col(outer))
+    out = out.withColumns({"truth": pick("_inner", "_json", "_outer"), "truth_text": pick("_inner_text", "_json_text", "_outer_text"), "has_truth": _counts(F.col("_outer_text"))})
+    there = _counts(F.col("truth_text"))
+    out = with_step(out, {"truth_text": F.when(there, F.col("truth_text")), "truth": F.when(there, F.col("truth"))})
+    return out.drop("_outer", "_json", "_outer_text", "_json_text", "_quoted", "_said", "_inner", "_inner_text")
 
 
 def evaluate(df: DataFrame, extraction: str = "extraction", ground_truth: str = "ground_truth", python_literals: bool = True) -> DataFrame:
     """Adds evaluation (evaluated, passed, field_accuracies) and evaluation_error (transient, with no verdict, where the ground truth is a list
     or a scalar; null otherwise). Without ground truth everything passes unevaluated; ground truth without header or summary passes;
     what cannot be read fails."""
-    out = with_truth(df, ground_truth, python_literals)
-    truth, own = F.col("truth"), F.col(extraction)
-    given = {p: F.try_variant_get(truth, f"$.{p}", "variant") for p in ("header", "summary")}
-    structured = given["header"].isNotNull() & given["summary"].isNotNull()
-
-    def matches(name: str) -> Column:
-        part, same = FIELDS[name]
-        value = F.try_variant_get(truth, f"$.{part}.{name}", "variant")
-        want = F.coalesce(strip(F.when(_counts(value), F.try_variant_get(truth, f"$.{part}.{name}", "string"))), F.lit(""))
-        have = strip(F.coalesce(own[part][name], F.lit("")))
-        return let(F.struct(have.alias("have"), want.alias("want")), lambda p: F.when(p["want"] == "", True).otherwise(same(p["have"], p["want"])))
-
-    out = out.withColumns({f"_{n}": F.when(structured, matches(n)).otherwise(truth.isNotNull() | ~F.col("has_truth")) for n in FIELDS})
-    odd = truth.isNotNull() & ~_is(truth, "OBJECT") & F.col("has_truth")
-    marks = F.struct(*(F.when(~odd, F.col(f"_{n}").cast("double")).alias(n) for n in FIELDS))
-    passed = F.when(~odd, F.col("_invoice_no") & F.col("_invoice_date") & F.col("_total_net_worth"))
+    out, own, truth = with_truth(df, ground_truth, python_literals), F.col(extraction), F.col("truth")
+    given = {p: F.try_variant_get(truth, f"$.{p}", "variant").isNotNull() for p in ("header", "summary")}
+    out = out.withColumn("_whole", given["header"] & given["summary"])
+    of = lambda kind: {f"_{kind}_{n}": F.try_variant_get(truth, f"$.{part}.{n}", kind) for n, part in FIELDS.items()}
+    out = with_step(out, of("string") | of("variant"))
+    want = {f"_want_{n}": F.coalesce(strip(F.when(_counts(F.to_json(f"_variant_{n}")), F.col(f"_string_{n}"))), F.lit("")) for n in FIELDS}
+    have = {f"_have_{n}": strip(F.coalesce(own[part][n], F.lit(""))) for n, part in FIELDS.items()}
+    out = with_step(out, want | have)
+    sides = ("have", "want")
+    texts = {n: [F.col(f"_{s}_{n}") for s in sides] for n in FIELDS}
+    out = with_days(with_step(out, {f"_bare_{s}": bare(F.col(f"_{s}_total_net_worth")) for s in sides}), {f"_day_{s}": f"_{s}_invoice_date" for s in sides})
+    out = with_step(out, {f"_number_{s}": number(F.col(f"_bare_{s}")) for s in sides})
+    both = lambda name: [F.col(f"_{name}_{s}") for s in sides]
+    same = {
+        "invoice_no": numbers_match(*texts["invoice_no"]),
+        "invoice_date": same_day(*both("day"), *texts["invoice_date"]),
+        "total_net_worth": close_or_same(*both("number"), *texts["total_net_worth"]),
+    }
+    fits = {f"_{n}": F.when(F.col("_whole"), (texts[n][1] == "") | same[n]).otherwise(truth.isNotNull() | ~F.col("has_truth")) for n in FIELDS}
+    odd = truth.isNotNull() & ~_kind(F.col("truth_text"), "{") & F.col("has_truth")
+    out = with_step(out, fits | {"_odd": odd})
+    marks = F.struct(*(F.when(~F.col("_odd"), F.col(f"_{n}").cast("double")).alias(n) for n in FIELDS))
+    passed = F.when(~F.col("_odd"), F.col("_invoice_no") & F.col("_invoice_date") & F.col("_total_net_worth"))
     # never null as a whole, so that a filter on it is not pushed down as all of the above
     verdict = F.struct(F.col("has_truth").alias("evaluated"), passed.alias("passed"), marks.alias("field_accuracies"))
-    done = out.withColumn("evaluation", verdict).withColumn("evaluation_error", F.when(odd, "transient"))
-    return done.drop("truth", "has_truth", *(f"_{n}" for n in FIELDS))
+    done = out.withColumns({"evaluation": verdict, "evaluation_error": F.when(F.col("_odd"), "transient")})
+    return done.select(*df.columns, "evaluation", "evaluation_error")
 
 
 def final_output(job_id: Column, confidence: Column, extraction: Column, evaluation: Column) -> Column:

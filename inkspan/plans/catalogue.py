@@ -281,9 +281,13 @@ def prompt_build(spark, sf_dir):
 
 @query
 def final_output_json(spark, sf_dir):
+    """The last JSON text of each document, read back."""
     e = evaluation.evaluate(extractions(spark, sf_dir), python_literals=False)
     job = F.concat(F.lit("job-"), F.col("o_orderkey").cast("string"))
-    return e.select(job.alias("job_id"), evaluation.final_output(job, F.lit(0.5), F.col("extraction"), F.col("evaluation")).alias("final_output"))
+    written = e.select(job.alias("job_id"), evaluation.final_output(job, F.lit(0.5), F.col("extraction"), F.col("evaluation")).alias("text"))
+    at = lambda path: F.get_json_object("text", path)
+    keys = F.array_join(F.json_object_keys("text"), ",")
+    return written.select(at("$.job_id").alias("job_id"), keys.alias("keys"), at("$.ocr_confidence").cast("double").alias("confidence"), at("$.extraction.header.invoice_no").alias("invoice_no"), F.coalesce(F.json_array_length(at("$.extraction.items")), F.lit(0)).alias("n_items"), at("$.extraction.summary.total_net_worth").alias("total"), at("$.evaluation.evaluated").cast("boolean").alias("evaluated"), at("$.evaluation.passed").cast("boolean").alias("passed"), F.contains("text", F.lit('"seller" : null')).alias("nulls_written"))
 
 
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

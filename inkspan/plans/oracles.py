@@ -128,6 +128,12 @@ def oracle_sql() -> dict[str, str]:
         "items_sum_check": sums,
         "extraction_parse": f"{inv} SELECT o_orderkey, o_orderkey % 5 > 1 AS valid, CASE WHEN o_orderkey % 5 > 1 THEN CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE invoice_no END END AS invoice_no FROM invoices",
         "evaluate": f"{inv[:-1]}, {VERDICTS} SELECT * FROM verdicts",
+        "evaluate_pyliteral": f"{inv[:-1]}, literal AS (SELECT * REPLACE ('{{\"json\": ' || inner_json || '}}' AS ground_truth) FROM invoices), {VERDICTS.replace('FROM invoices', 'FROM literal')} SELECT * FROM verdicts",
+        "final_output_json": f"""{_with('invoices', 'line_items')[:-1]}, blanked AS (SELECT * REPLACE (CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE invoice_no END AS invoice_no) FROM invoices), {VERDICTS.replace('FROM invoices', 'FROM blanked')},
+          n AS (SELECT l_orderkey, count(*)::INT AS n_items FROM line_items GROUP BY l_orderkey)
+          SELECT 'job-' || o_orderkey AS job_id, 'job_id,ocr_confidence,extraction,evaluation' AS keys, 0.5::DOUBLE AS confidence, b.invoice_no, coalesce(n_items, 0) AS n_items, b.total_net_worth AS total, evaluated, passed, true AS nulls_written
+          FROM blanked b JOIN verdicts USING (o_orderkey) LEFT JOIN n ON l_orderkey = o_orderkey""",
+        "layout_text": _LAYOUT,
         "kpi_summary": f"""{_EVALUATED[:-1]}, k AS (SELECT count(*) AS total, coalesce(sum(passed::INT), 0)::BIGINT AS passed_count, count(confidence_score) AS n_confidence, coalesce(avg(invoice_no), 0) AS a, coalesce(avg(invoice_date), 0) AS b,
           coalesce(avg(total_net_worth), 0) AS c, coalesce(avg(confidence_score), 0) AS d FROM done), r AS (SELECT *, CASE WHEN total > 0 THEN passed_count / total ELSE 0 END AS rate, (a + b + c) / 3 AS o FROM k)
           SELECT total, passed_count, CASE WHEN rate >= 0.7 THEN 'teal' WHEN rate >= 0.4 THEN 'amber' ELSE 'rose' END AS rating, CASE WHEN o >= 0.7 THEN 'teal' ELSE 'amber' END AS accuracy_rating, n_confidence,
@@ -196,3 +202,22 @@ _WORDS = "regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')"
 #: Every group of eight blocks shares a row: their baselines wave by 6 pixels at most, under half the height.
 _ROWS = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w), k AS (SELECT doc_id, i // 8 AS r, count(*) AS n FROM b WHERE trim(word) <> '' GROUP BY ALL)
 SELECT doc_id, count(*)::INT AS n_rows, string_agg(n::VARCHAR, ',' ORDER BY r) AS sizes FROM k GROUP BY doc_id"""
+
+#: Eight words a row, all rows but perhaps the last in columns: the first row as text, then all of them as a table, then a last row that is none.
+_LAYOUT = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+k AS (SELECT doc_id, i // 8 AS r, i, (i % 8) * 120 AS x, 8 * length(word) AS wide, {_mended('word')} AS word FROM b WHERE trim(word) <> ''),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY i) AS c FROM k),
+r AS (SELECT doc_id, r, count(*) AS n, string_agg(word, '    ' ORDER BY c) AS line, min(x) AS x0, arg_min(wide, c) AS w0, max(x) AS x1, arg_max(wide, c) AS w1 FROM c GROUP BY doc_id, r),
+f AS (SELECT *, n >= 3 OR (n = 2 AND x1 + w1 - x0 > 0 AND (x1 - x0 - w0)::DOUBLE / (x1 + w1 - x0) > 0.15) AS tabular, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS k FROM r),
+p AS (SELECT doc_id, count_if(tabular) AS p, max(CASE WHEN tabular THEN n END) AS wide FROM f GROUP BY doc_id),
+cells AS (SELECT c.doc_id, f.k, c.c, c.word FROM c JOIN f ON c.doc_id = f.doc_id AND c.r = f.r WHERE f.tabular),
+widths AS (SELECT doc_id, c, max(length(word)) AS width FROM cells GROUP BY doc_id, c),
+lines AS (SELECT f.doc_id, f.k, '| ' || string_agg(rpad(coalesce(cells.word, ''), widths.width::INT, ' '), ' | ' ORDER BY widths.c) || ' |' AS line
+  FROM f JOIN widths ON f.doc_id = widths.doc_id LEFT JOIN cells ON cells.doc_id = f.doc_id AND cells.k = f.k AND cells.c = widths.c WHERE f.tabular GROUP BY f.doc_id, f.k),
+rules AS (SELECT doc_id, '|' || string_agg(repeat('-', (width + 2)::INT), '|' ORDER BY c) || '|' AS line FROM widths GROUP BY doc_id),
+every AS (SELECT f.doc_id, 0 AS part, 0 AS k, line FROM f WHERE k = 1
+  UNION ALL SELECT lines.doc_id, 1, 2 * k, line FROM lines JOIN p USING (doc_id) WHERE p >= 2
+  UNION ALL SELECT rules.doc_id, 1, 3, line FROM rules JOIN p USING (doc_id) WHERE p >= 2
+  UNION ALL SELECT f.doc_id, 2, k, line FROM f JOIN p USING (doc_id) WHERE k > 1 AND (NOT tabular OR p < 2)),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY part, k) AS t FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(length(t), 0)::INT AS n_chars, md5(coalesce(t, '')) AS digest FROM documents LEFT JOIN t USING (doc_id)"""

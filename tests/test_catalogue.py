@@ -6,6 +6,7 @@ import hashlib
 
 import pytest
 
+from inkspan.operators import layout
 from inkspan.plans import catalogue
 from tests.test_functions import edits
 
@@ -43,7 +44,8 @@ def test_layout_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words), "en", "a", 0), (2, "one two", "en", "a", 0)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: (r.n_rows, r.sizes) for r in catalogue.row_cluster(spark, str(tmp_path)).collect()}
     assert rows == {1: (13, ",".join(["8"] * 12 + ["7"])), 2: (1, "2")}
-    text = {r.doc_id: r.raw_text for r in catalogue.layout_text(spark, str(tmp_path)).collect()}[1]
+    text = {r.doc_id: r.raw_text for r in layout.reconstruct(catalogue.pages(spark, str(tmp_path))).collect()}[1]
+    assert {r.doc_id: (r.n_chars, r.digest) for r in catalogue.layout_text(spark, str(tmp_path)).collect()}[1] == (len(text), hashlib.md5(text.encode()).hexdigest())
     assert [w for w in text.split() if w.startswith("w")][8:] == words  # the first row stands as text before the table too
     flat = {r.doc_id: r.digest for r in catalogue.flat_text(spark, str(tmp_path)).collect()}
     assert flat[1] == hashlib.md5("\n".join(words).encode()).hexdigest()
