@@ -149,9 +149,9 @@ def dilate(mask: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
 
 
-def background(g: np.ndarray) -> tuple[float, float]:
-    """Mean deviation and mean of the corners, each a tenth of the shorter side; under 5 pixels: 0 and the whole picture's mean."""
-    k = min(g.shape) // 10
+def background(g: np.ndarray, part: int = 10) -> tuple[float, float]:
+    """Mean deviation and mean of the corners, each a tenth (or another part) of the shorter side; under 5 pixels: 0 and the whole picture's mean."""
+    k = min(g.shape) // part
     if k < 5:
         return 0.0, float(g.mean())
     corners = [c[:, s] for c in (g[:k], g[-k:]) for s in (slice(None, k), slice(-k, None))]

@@ -422,22 +422,6 @@ def strategy_select(spark, sf_dir):
     return image_quality.report(view(spark, sf_dir, "image_features")).select("p_partkey", "source", "strategy")
 
 
-@query
-def image_sharpness(spark, sf_dir):
-    return image_quality.from_pixels(view(spark, sf_dir, "pixels"), "p_partkey").select("p_partkey", F.round("sharpness", 4).alias("sharpness"))
-
-
-@query
-def image_contrast(spark, sf_dir):
-    return image_quality.from_pixels(view(spark, sf_dir, "pixels"), "p_partkey").select("p_partkey", F.round("contrast", 6).alias("contrast"), F.round("brightness", 6).alias("brightness"))
-
-
-@query
-def bg_uniformity(spark, sf_dir):
-    """Corners of a third of the side, since these pictures are small."""
-    return image_quality.from_pixels(view(spark, sf_dir, "pixels"), "p_partkey", corner_part=3).select("p_partkey", F.round("bg_std", 4).alias("bg_std"), F.round("bg_mean", 6).alias("bg_mean"))
-
-
 @query
 def perspective_dims(spark, sf_dir):
     point = lambda x, y: f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkspan.plans import pictures
 from inkspan.plans.catalogue import NOW
 from inkspan.plans.derived import sql
 
@@ -116,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
     sums = f"""{_with('invoices', 'line_items')[:-1]}, s AS (SELECT l_orderkey, count(*) AS n, sum({_amount('item_net_worth')}) AS total FROM line_items GROUP BY l_orderkey)
       SELECT o_orderkey, coalesce(n, 0)::INT AS n_items, coalesce(abs(total - {_amount('total_net_worth')}) > 0.05, false) AS differs FROM invoices LEFT JOIN s ON l_orderkey = o_orderkey"""
     part_row = "(50 + p_partkey % 40 - 50)::DOUBLE / (150 + p_partkey % 40)"
-    return {
+    return pictures.oracle_sql(_SCORES, _SOURCE) | {
         "amount_parse": f"{_with('amount_texts')} SELECT l_orderkey, l_linenumber, raw, {_amount('raw')} AS amount FROM amount_texts",
         "amount_match": f"{inv} SELECT o_orderkey, {_same_amount('total_net_worth', 'gt_total')} AS same FROM invoices",
         "date_parse": f"{inv} SELECT o_orderkey, invoice_date, strftime({_day('invoice_date')}, '%Y-%m-%d') AS day FROM invoices",
