@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from inkspan.functions import image_kernels, prompts
 from inkspan.operators.evaluation import parse_extraction
 from inkspan.operators.layout import flat_text, mean_confidence, reconstruct
-from inkspan.schemas import TEXT_BLOCK
+from inkspan.schemas import REGION, TEXT_BLOCK
 
 Blocks = list[dict]
 
@@ -53,6 +53,50 @@ def ocr_engine(name: str) -> Callable[[], Callable[[bytes | None], Blocks]]:
     return OCR[name.lower()]
 
 
+def embedded_regions(data: bytes | None) -> Blocks:
+    """Offline layout model: the regions that a PNG carries as JSON in its text chunk named regions."""
+    found = image_kernels.decode_png(data or b"")
+    return json.loads(found[1].get("regions", "[]")) if found else []
+
+
+def _doclayout() -> Callable[[bytes | None], Blocks]:
+    try:
+        from doclayout_yolo import YOLOv10
+    except ImportError as e:
+        raise RuntimeError("doclayout_yolo is not installed") from e
+    model = YOLOv10("doclayout_yolo_docstructbench_imgsz1024.pt")
+
+    def run(data: bytes | None) -> Blocks:
+        image = image_kernels.decode_png(data or b"")
+        found = model.predict(image[0], imgsz=1024)[0] if image else None
+        return [{"bbox": [int(v) for v in b.xyxy[0]], "label": found.names[int(b.cls)], "confidence": float(b.conf)} for b in found.boxes] if found else []
+
+    return run
+
+
+#: As for OCR: models that find regions of a page.
+LAYOUTS: dict[str, Callable[[], Callable[[bytes | None], Blocks]]] = {"embedded": lambda: embedded_regions, "doclayout": _doclayout}
+
+
+def layout_model(name: str) -> Callable[[], Callable[[bytes | None], Blocks]]:
+    if name.lower() not in LAYOUTS:
+        raise ValueError(f"unknown layout model: {name}")
+    return LAYOUTS[name.lower()]
+
+
+def find_regions(df: DataFrame, name: str, content: str = "processed") -> DataFrame:
+    """Adds layout_regions; none where the picture has none or cannot be read."""
+    make = layout_model(name)
+
+    @pandas_udf(T.ArrayType(REGION))
+    def regions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = make()
+        for data in batches:
+            yield pd.Series([[] if x is None else run(x) for x in data])
+
+    return df.withColumn("layout_regions", F.coalesce(regions(F.col(content)), F.array().cast(T.ArrayType(REGION))))
+
+
 def recognise(df: DataFrame, engine: str, content: str = "processed", fallback: str | None = "content") -> DataFrame:
     """Adds text_blocks. Pictures without any are read again as they came, from the fallback column, in a pass over those alone."""
     make = ocr_engine(engine)
@@ -127,7 +171,20 @@ def _offline(**_) -> Callable[[str, str], str]:
     return lambda system, user: read_labels(user.partition(prompts.TEXT_MARK)[2])
 
 
-EXTRACTORS: dict[str, Callable[..., Callable[[str, str], str]]] = {"labels": _offline, "ollama": _ollama, "gemini": _gemini}
+def _recorded(answers: dict[str, list[str | None]] | None = None, **_) -> Callable[[str, str], str]:
+    """Answers kept from an earlier run, by file name: the first to the request, the second to its repair; None stands for a service that was not reached."""
+
+    def ask(system: str, user: str) -> str:
+        name = user.partition("File: ")[2].partition("\n")[0]
+        said = (answers or {})[name][1 if AGAIN in user else 0]
+        if said is None:
+            raise OSError("not reached")
+        return said
+
+    return ask
+
+
+EXTRACTORS: dict[str, Callable[..., Callable[[str, str], str]]] = {"labels": _offline, "recorded": _recorded, "ollama": _ollama, "gemini": _gemini}
 
 
 def maker(name: str) -> Callable[..., Callable[[str, str], str]]:
@@ -140,9 +197,13 @@ def extractor(name: str, **settings) -> Callable[[str, str], str]:
     return maker(name)(**settings)
 
 
+#: What stands between a request and the answer that is to be repaired.
+AGAIN = "\n\nYour answer was:"
+
+
 def _answer(ask: Callable[[str, str], str], user: str, said: str | None = None, why: str | None = None) -> tuple[str | None, str | None]:
     """(answer, kind of error)."""
-    request = user if said is None else f"{user}\n\nYour answer was:\n{said}\n\nIt is not valid: {why}. Answer again with the corrected JSON only."
+    request = user if said is None else f"{user}{AGAIN}\n{said}\n\nIt is not valid: {why}. Answer again with the corrected JSON only."
     try:
         return ask(prompts.SYSTEM, request), None
     except (OSError, TimeoutError):

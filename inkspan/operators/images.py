@@ -23,14 +23,16 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([kernels.features(x[0]) if x else dict.fromkeys(FEATURES.names) for x in found], columns=FEATURES.names)
 
 
+def enhanced(raw: bytes | None, strategy: str | None) -> bytes | None:
+    """A picture after the strategy's steps, its text chunks kept; what cannot be decoded, or has no strategy, as it is."""
+    image = kernels.decode_png(raw) if strategy else None
+    return kernels.encode_png(kernels.preprocess(image[0], strategy), image[1]) if image else raw
+
+
 @pandas_udf(T.BinaryType())
 def _preprocessed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, strategies in batches:
-        out = []
-        for raw, strategy in zip(data, strategies, strict=True):
-            image = kernels.decode_png(raw)
-            out.append(kernels.encode_png(kernels.preprocess(image[0], strategy), image[1]) if image and strategy else raw)
-        yield pd.Series(out)
+        yield pd.Series([enhanced(raw, strategy) for raw, strategy in zip(data, strategies, strict=True)])
 
 
 def assess(df: DataFrame, content: str = "content") -> DataFrame:

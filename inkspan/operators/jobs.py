@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.schemas import STATUSES, TERMINAL, TRANSITIONS
+from inkspan.schemas import IN_FLIGHT, STATUSES, TENANT, TERMINAL, TRANSITIONS
 
 MAX_RETRIES = 3
 #: Kinds of error that a retry cannot mend.
@@ -69,3 +69,42 @@ def open_messages(messages: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def deduplicate(messages: DataFrame, key: str = "message_id") -> DataFrame:
     return messages.dropDuplicates([key])
+
+
+def reclaim(jobs: DataFrame, now: Column, idle_seconds: int = 300, limit: int = 10) -> DataFrame:
+    """Messages whose consumer fell silent: jobs that were begun, and not touched for longer than idle_seconds, the oldest first and up to limit in one pass. Adds 1 to
+    retry_count; failed says that this is one too many. A bounded top, which each task cuts first."""
+    idle = F.timestamp_diff("MICROSECOND", F.col("updated_at"), now) > idle_seconds * 1_000_000
+    silent = jobs.where(F.col("status").isin(*(s for s in IN_FLIGHT if s != "queued")) & idle).orderBy("updated_at", "job_id").limit(limit)
+    count = F.coalesce("retry_count", F.lit(0))
+    return silent.select("job_id", "tenant_id", "input_file_path", "status", F.when(count >= MAX_RETRIES, count).otherwise(count + 1).cast("int").alias("retry_count"), (count >= MAX_RETRIES).alias("failed"))
+
+
+def seed_tenants(spark: SparkSession) -> DataFrame:
+    """The tenants that a new store begins with."""
+    return spark.createDataFrame([("00000000-0000-0000-0000-000000000001", "default", "{}", 100)], TENANT)
+
+
+def tenant_of(tenants: DataFrame, name: str = "default") -> str:
+    """The id of the first tenant of that name."""
+    found = tenants.where(F.col("name") == name).orderBy("id").select("id").first()
+    if found is None:
+        raise LookupError(f"no tenant is named {name}")
+    return found["id"]
+
+
+#: The columns of the list of all jobs, and of what is told about one.
+RECORD = ("id", "tenant_id", "status", "input_file_path", "confidence_score", "ocr_data", "extraction_data", "evaluation_data", "ground_truth", "error_message", "retry_count", "created_at", "updated_at")
+STATUS = ("job_id", "status", "input_file_path", "confidence_score", "ocr_data", "extraction_data", "evaluation_data", "ground_truth", "error_message", "created_at", "updated_at")
+
+
+def records(jobs: DataFrame) -> DataFrame:
+    """All jobs, the latest first."""
+    named = jobs.withColumn("id", F.col("job_id"))
+    return named.orderBy(F.desc("created_at"), "id").select(*RECORD)
+
+
+def status_of(jobs: DataFrame, job_id: str) -> dict | None:
+    """What is told about one job; None if there is none of that id."""
+    found = jobs.where(F.col("job_id") == job_id).select(*STATUS).first()
+    return None if found is None else found.asDict(recursive=True)

@@ -126,5 +126,14 @@ def blocks_of_result(texts: Column, scores: Column, boxes: Column) -> Column:
     return F.transform(F.slice(F.arrays_zip(texts.alias("text"), scores.alias("confidence"), boxes.alias("bbox")), F.lit(1), n), lambda b: F.struct(b["text"].alias("text"), b["confidence"].cast("double").alias("confidence"), b["bbox"].cast("array<int>").alias("bbox")))
 
 
+def blocks_of_lines(raw: Column) -> Column:
+    """The older form of a result, JSON of pages of lines, a line being four points, then text and confidence: the first page's text blocks."""
+    pages = F.from_json(raw, "array<array<array<string>>>")
+    line = lambda x: F.from_json(x[1], "array<string>")
+    block = lambda x: F.struct(line(x)[0].alias("text"), line(x)[1].cast("double").alias("confidence"), box_of(F.from_json(x[0], "array<array<double>>")).alias("bbox"))
+    first = F.get(pages, F.lit(0))
+    return F.when(F.size(first) > 0, F.transform(first, block)).otherwise(F.array().cast("array<struct<text:string,confidence:double,bbox:array<int>>>"))
+
+
 def mean_confidence(text_blocks: Column) -> Column:
     return F.when(F.size(text_blocks) > 0, F.aggregate(text_blocks, F.lit(0.0), lambda s, b: s + b["confidence"]) / F.size(text_blocks)).otherwise(0.0)

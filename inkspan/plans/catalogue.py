@@ -14,7 +14,6 @@ from inkspan.functions.invoice_numbers import normalise_number, numbers_match
 from inkspan.functions.metrics import character_error_rate, fields_match, word_error_rate
 from inkspan.functions.repair import repair_text
 from inkspan.operators import analytics, evaluation, image_quality, jobs, layout
-from inkspan.operators import benchmark as ab
 from inkspan.plans.derived import spread, view
 from inkspan.schemas import IN_FLIGHT
 
@@ -240,15 +239,6 @@ def message_join(spark, sf_dir):
     return jobs.open_messages(messages, j).select("job_id", "status", "error_kind")
 
 
-@query
-def message_validate(spark, sf_dir):
-    """Intake messages with a well-formed job id and a path; the rest are dropped."""
-    e = view(spark, sf_dir, "jobs")
-    uuid = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-00000000000"), F.when(F.col("o_orderkey") % 6 == 0, "g").otherwise("a"))
-    m = e.select(uuid.alias("job_id"), F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.col("input_file_path")).alias("input_file_path"))
-    return m.where(paths.is_uuid(F.col("job_id")) & (F.col("input_file_path") != ""))
-
-
 @query
 def message_dedupe(spark, sf_dir):
     m = view(spark, sf_dir, "job_events").select(F.concat(F.col("job_id"), F.lit("/"), F.col("status")).alias("message_id"))
@@ -331,15 +321,6 @@ def field_exact_match(spark, sf_dir):
     return both.select("o_orderkey", *(F.col(f"m.{n}").alias(n) for n in ("no", "date", "client")), *(F.col(f"r.{n}").alias(f"raw_{n}") for n in ("no", "date", "client")))
 
 
-@query
-def ab_benchmark(spark, sf_dir):
-    """Two variants over the same pages, one with repair of the text; pages of every fifth document have no ground truth."""
-    p = ocr_pairs(spark, sf_dir)
-    results = ab.run(spark, p.select("doc_id", "prediction", F.when(F.col("doc_id") % 5 != 0, F.col("truth")).alias("truth")))
-    s = ab.summarise(results)
-    return s.select("config", "n", *(F.round(c, 6).alias(c) for c in ("avg_confidence", "avg_latency", "avg_cer", "avg_wer")))
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each document as text blocks in eight columns, their baselines waving."""
     words = F.split("text", r"\s+")
@@ -442,11 +423,3 @@ def in_flight_union(spark, sf_dir):
     j = view(spark, sf_dir, "jobs").select("job_id", "status")
     parts = [j.where(F.col("status") == s) for s in IN_FLIGHT[:3]]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query
-def blob_exists(spark, sf_dir):
-    """Jobs whose object is in the listing."""
-    j = view(spark, sf_dir, "jobs").select("job_id", "input_file_path")
-    listing = view(spark, sf_dir, "jobs").where(F.col("o_orderkey") % 3 == 0).select("input_file_path")
-    return j.join(listing, "input_file_path", "left_semi").select("job_id")

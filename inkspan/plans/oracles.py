@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspan.plans import pictures
+from inkspan.plans import pictures, services
 from inkspan.plans.catalogue import NOW
 from inkspan.plans.derived import sql
 
@@ -117,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
     sums = f"""{_with('invoices', 'line_items')[:-1]}, s AS (SELECT l_orderkey, count(*) AS n, sum({_amount('item_net_worth')}) AS total FROM line_items GROUP BY l_orderkey)
       SELECT o_orderkey, coalesce(n, 0)::INT AS n_items, coalesce(abs(total - {_amount('total_net_worth')}) > 0.05, false) AS differs FROM invoices LEFT JOIN s ON l_orderkey = o_orderkey"""
     part_row = "(50 + p_partkey % 40 - 50)::DOUBLE / (150 + p_partkey % 40)"
-    return pictures.oracle_sql(_SCORES, _SOURCE) | {
+    return pictures.oracle_sql(_SCORES, _SOURCE) | services.oracle_sql() | {
         "amount_parse": f"{_with('amount_texts')} SELECT l_orderkey, l_linenumber, raw, {_amount('raw')} AS amount FROM amount_texts",
         "amount_match": f"{inv} SELECT o_orderkey, {_same_amount('total_net_worth', 'gt_total')} AS same FROM invoices",
         "date_parse": f"{inv} SELECT o_orderkey, invoice_date, strftime({_day('invoice_date')}, '%Y-%m-%d') AS day FROM invoices",
@@ -152,6 +152,8 @@ def oracle_sql() -> dict[str, str]:
         "detail_table": f"""{_EVALUATED} SELECT job_id, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS passed, CASE WHEN invoice_no = 1 THEN 'correct' ELSE 'wrong' END AS invoice_no, CASE WHEN invoice_date = 1 THEN 'correct' ELSE 'wrong' END AS invoice_date,
           CASE WHEN total_net_worth = 1 THEN 'correct' ELSE 'wrong' END AS total_net_worth, printf('%.2f', coalesce(confidence_score, 0) * 100) || '%' AS confidence, strftime(created_at, '%Y-%m-%d %H:%M') AS created FROM done""",
         "done_jobs": f"{_EVALUATED} SELECT job_id, confidence_score, passed FROM done",
+        "job_records": f"""{_with('invoices', 'jobs')[:-1]}, {VERDICTS} SELECT j.job_id AS id, tenant_id, status, input_file_path, confidence_score, NULL::VARCHAR AS ocr_data, NULL::VARCHAR AS extraction_data, CASE WHEN o_orderkey % 7 <> 3 THEN v.passed::VARCHAR END AS evaluation_data,
+          '{{"n": ' || retry_count || '}}' AS ground_truth, error_message, retry_count, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM jobs j JOIN verdicts v USING (o_orderkey)""",
         "job_lookup": f"{job} SELECT job_id, status, input_file_path, retry_count FROM jobs WHERE job_id = 'job-00000007'",
         "tenant_lookup": f"{job} SELECT 'default' AS name, 100 AS rate_limit, count(*) AS n_jobs FROM jobs WHERE tenant_id = 'default'",
         "transition_violations": f"{_with('job_events')[:-1]}, l AS (SELECT job_id, seq, lag(status) OVER (PARTITION BY job_id ORDER BY stamp, seq) AS previous_status, status FROM job_events) SELECT * FROM l WHERE NOT ({_ALLOWED.format(a='previous_status', b='status')})",
@@ -163,7 +165,6 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN again THEN CASE WHEN may THEN 'Transient failure (Retry #' || (retry_count + 1) || '): ' || tenant_id END WHEN status NOT IN ('done', 'failed') THEN 'Failed: ' || tenant_id END AS error_message FROM d""",
         "requeue_scan": f"{job} SELECT job_id, tenant_id, input_file_path, 0 AS retry_count FROM jobs WHERE status = 'queued'",
         "message_join": f"{job[:-1]}, m AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'lost-' || job_id ELSE job_id END AS job_id FROM jobs) SELECT m.job_id, j.status, CASE WHEN j.job_id IS NULL THEN 'value' END AS error_kind FROM m LEFT JOIN jobs j ON m.job_id = j.job_id WHERE j.status IS NULL OR j.status NOT IN ('done', 'failed')",
-        "message_validate": f"{job} SELECT lpad(o_orderkey::VARCHAR, 8, '0') || '-0000-4000-8000-00000000000a' AS job_id, input_file_path FROM jobs WHERE o_orderkey % 6 <> 0 AND o_orderkey % 10 <> 0",
         "message_dedupe": f"{_with('job_events')} SELECT DISTINCT job_id || '/' || status AS message_id FROM job_events",
         "path_split": f"{job} SELECT job_id, split_part(input_file_path, '/', 1) AS bucket, substr(input_file_path, strpos(input_file_path, '/') + 1) AS key, split_part(input_file_path, '/', -1) AS filename FROM jobs",
         "path_build": f"{job} SELECT job_id, 'invoices/' || tenant_id || '/' || job_id || '/input.' || split_part(input_file_path, '.', -1) AS path, tenant_id || '/' || job_id || '/final_output.json' AS final_path FROM jobs",
@@ -195,7 +196,6 @@ def oracle_sql() -> dict[str, str]:
         "resolution_target": """WITH s AS (SELECT p_partkey, (p_partkey * 13 % 6000 + 100)::INT AS h, (p_size * 90 + 10)::INT AS w FROM part), z AS (SELECT *, CASE WHEN greatest(h, w) < 2000 THEN 2000::DOUBLE / greatest(h, w) WHEN greatest(h, w) > 4000 THEN 4000::DOUBLE / greatest(h, w) ELSE 1 END AS f FROM s)
           SELECT p_partkey, trunc(h * f)::INT AS height, trunc(w * f)::INT AS width FROM z""",
         "in_flight_union": f"{job} SELECT job_id, status FROM jobs WHERE status IN ('queued', 'ocr_processing', 'extracting')",
-        "blob_exists": f"{job} SELECT job_id FROM jobs WHERE o_orderkey % 3 = 0",
     }
 
 

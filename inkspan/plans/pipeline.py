@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ class Settings:
     preprocess: bool = True
     layout: bool = True
     fallback: bool = True
+    layout_model: str | None = None
     extractor: str = "labels"
     extractor_settings: dict = field(default_factory=dict)
     bucket: str = paths.BUCKET
@@ -73,16 +75,18 @@ def _failed_events(decided: DataFrame, at: Column) -> DataFrame:
     return decided.select(*event(F.col("job_id"), F.col("retry_count") * ATTEMPT + 90, at, F.col("next_status"), retry_count=F.col("next_retry"), error_message=F.col("error_message")))
 
 
-def process(messages: DataFrame, objects: DataFrame, at: Column, keep: Keep, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """messages of the intake and objects(path, content). recognised: the rows with ocr_output and extraction; events; next: messages for the output stage; again: messages to be
-    delivered once more. keep writes what the engines make once for all four."""
+def process(messages: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], at: Column, keep: Keep, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """messages of the intake; fetch adds content, the object at a column's path. recognised: the rows with ocr_output and extraction; events; objects(path, content): what
+    was read and extracted, as JSON; next: messages for the output stage; again: messages to be delivered once more. keep writes what the engines make once for all."""
     # an object that is not there is an error that may pass
-    read = well_formed(messages).join(objects.select(F.col("path").alias("input_file_path"), "content"), "input_file_path", "left").withColumn("file_name", paths.split_path(F.col("input_file_path"))["filename"])
+    read = fetch(well_formed(messages), "input_file_path").withColumn("file_name", paths.split_path(F.col("input_file_path"))["filename"])
     missing = read.where("content is null").withColumns({"error_kind": F.lit("not_found"), "error": F.concat(F.lit("no object at "), F.col("input_file_path"))})
     there = read.where("content is not null")
     pictures = images.preprocess(there) if settings.preprocess else there.withColumn("processed", F.col("content"))
     blocks = engines.recognise(pictures, settings.ocr_engine, fallback="content" if settings.fallback and settings.preprocess else None)
-    text = engines.ocr_output(blocks, settings.ocr_engine, settings.layout)
+    if settings.layout and settings.layout_model:
+        blocks = engines.find_regions(blocks, settings.layout_model, "content")
+    text = engines.ocr_output(blocks, settings.ocr_engine, settings.layout, "layout_regions" if "layout_regions" in blocks.columns else None)
     kept = keep(text.select("job_id", "tenant_id", "input_file_path", "retry_count", "ocr_output"), "recognised")
     done = keep(engines.extract(kept, settings.extractor, **settings.extractor_settings), "extracted")
     good = done.where("extraction_error is null")
@@ -97,7 +101,10 @@ def process(messages: DataFrame, objects: DataFrame, at: Column, keep: Keep, set
     path = paths.output_path(F.col("tenant_id"), F.col("job_id"), "ocr_output.json")
     nexts = good.select("job_id", "tenant_id", path.alias("ocr_output_path"), confidence.alias("ocr_confidence"), F.to_json("extraction", {"ignoreNullFields": "false"}).alias("extraction_data"), F.lit(0).alias("retry_count"))
     again = decided.where("again").select("job_id", "tenant_id", "input_file_path", F.col("next_retry").alias("retry_count"))
-    return {"recognised": done, "events": started.unionByName(passed).unionByName(half).unionByName(_failed_events(decided, at)), "next": nexts, "again": again}
+    said = done.select("tenant_id", "job_id", F.lit("ocr_output.json").alias("name"), F.to_json("ocr_output", {"ignoreNullFields": "false"}).alias("text"))
+    said = said.unionByName(good.select("tenant_id", "job_id", F.lit("extraction.json").alias("name"), F.to_json("extraction", {"ignoreNullFields": "false"}).alias("text")))
+    made = said.select(F.concat_ws("/", F.lit(settings.bucket), "tenant_id", "job_id", "name").alias("path"), F.col("text").cast("binary").alias("content"))
+    return {"recognised": done, "objects": made, "events": started.unionByName(passed).unionByName(half).unionByName(_failed_events(decided, at)), "next": nexts, "again": again}
 
 
 def finish(messages: DataFrame, current: DataFrame, at: Column, keep: Keep) -> dict[str, DataFrame]:

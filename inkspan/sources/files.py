@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: what counts as a picture in a benchmark's folder.
 PICTURES = "*.{jpg,png,jpeg}"
@@ -35,14 +42,12 @@ def with_truths(images: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds _n: the row's number from 0, in the order of files and of rows within them. Rows are numbered within their partition; how many stand in the
-    partitions before is a sum over one row a partition."""
-    marked = rows.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+    """Adds _n: the row's number from 0, files in the order of their names, rows in that of their file. How many rows stand in the files before is a sum over
+    one row a file."""
+    marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = marked.groupBy("_file").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.join(sizes.select("_file", before.alias("_before")), "_file").withColumn("_n", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
 
 
 def dataset(spark: SparkSession, folder: str, split: str = "test", limit: int | None = None) -> DataFrame:
@@ -51,20 +56,81 @@ def dataset(spark: SparkSession, folder: str, split: str = "test", limit: int |
     if limit is not None and limit < 1:
         raise ValueError("limit must be 1 or more")
     rows = spark.read.parquet(f"{folder.rstrip('/')}/{split}")
-    rows = rows.limit(limit) if limit else rows
     numbered = _numbered(rows)
+    numbered = numbered.where(F.col("_n") < limit) if limit else numbered
     own = F.col("id").cast("string") if "id" in rows.columns else F.lit(None).cast("string")
     text = F.col("parsed_data").cast("string") if "parsed_data" in rows.columns else F.lit(None).cast("string")
     truth = F.when(text.isNull(), "{}").when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("raw"))))
     return numbered.select("image", F.coalesce(own, F.concat(F.lit("hf_"), F.col("_n").cast("string"))).alias("id"), truth.alias("ground_truth"))
 
 
+def _file_system(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a root and the root's path in it, as executors see them."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    return (arrow_fs.LocalFileSystem(), root) if root.startswith("/") else arrow_fs.FileSystem.from_uri(root)
+
+
+def _put(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Each object is written beside its place and moved there, so that a reader never sees a part of one, and a task that runs again writes the same."""
+    store, base = _file_system(root)
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            folder, _, name = f"{base}/{path}".rpartition("/")
+            store.create_dir(folder, recursive=True)
+            part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(data.as_buffer() if data.is_valid else b"")
+            store.move(part, f"{folder}/{name}")
+        yield batch.select([0])
+
+
+def _delete(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    store, base = _file_system(root)
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            if store.get_file_info(f"{base}/{path}").type == arrow_fs.FileType.File:
+                store.delete_file(f"{base}/{path}")
+        yield batch.select([0])
+
+
+def _read(batches: Iterator[pa.RecordBatch], root: str, at: int, each: int = 16) -> Iterator[pa.RecordBatch]:
+    """The rows with their objects' bytes, few at a time; null where there is none."""
+    store, base = _file_system(root)
+
+    def content(path: str | None) -> bytes | None:
+        try:
+            with store.open_input_stream(f"{base}/{path}") as data:
+                return data.read()
+        except (FileNotFoundError, IsADirectoryError):
+            return None
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, each):
+            some = batch.slice(start, each)
+            found = [None if p is None else content(p) for p in some.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.binary())], names=[*some.schema.names, "content"])
+
+
 class Objects:
-    """Objects at bucket/key below a root. Listing and reading are DataFrames; single objects go through Hadoop's file systems."""
+    """Objects at bucket/key below a root. Many are written, read and deleted by the executors that hold their rows; single ones through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def put_all(self, df: DataFrame) -> int:
+        """df(path: bucket/key, content: binary): objects written over what was there; how many. Buckets are made as they are named."""
+        return df.select("path", "content").mapInArrow(partial(_put, root=self.root), "path string").count()
+
+    def delete_all(self, df: DataFrame) -> int:
+        """df(path): nothing happens where there is none; how many were named."""
+        return df.select("path").mapInArrow(partial(_delete, root=self.root), "path string").count()
+
+    def with_content(self, df: DataFrame, path: str) -> DataFrame:
+        """Adds content (binary): the object at the path, null where there is none. Only the rows' own objects are read; nothing is joined."""
+        schema = T.StructType([*df.schema.fields, T.StructField("content", T.BinaryType())])
+        return df.mapInArrow(partial(_read, root=self.root, at=df.columns.index(path)), schema)
+
     def _at(self, bucket: str, key: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{bucket}/{key}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

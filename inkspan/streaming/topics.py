@@ -26,10 +26,10 @@ class Topics:
         else:
             rows.write.mode("overwrite").text(f"{self.folder(topic)}/batch={batch}")
 
-    def subscribe(self, topic: str, schema: T.StructType) -> DataFrame:
-        """From the earliest message on."""
+    def subscribe(self, topic: str, schema: T.StructType, files: int = 100) -> DataFrame:
+        """From the earliest message on; a micro-batch reads up to so many files."""
         self._make(topic)
-        lines = self.spark.readStream.option("recursiveFileLookup", True).text(self.folder(topic))
+        lines = self.spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).text(self.folder(topic))
         return lines.select(F.from_json("value", schema).alias("m")).select("m.*")
 
     def read(self, topic: str, schema: T.StructType) -> DataFrame:

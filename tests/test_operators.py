@@ -297,10 +297,16 @@ def test_extract_repairs_once(spark, monkeypatch):
 
 
 def test_benchmark(spark):
-    df = spark.createDataFrame([("1O0", "100"), ("abc", "abd"), ("x", None)], "prediction string, truth string")
-    got = {r.config: r for r in benchmark.summarise(benchmark.run(spark, df)).collect()}
-    assert got["baseline_with_preprocess"].n == 3 and got["baseline_with_preprocess"].avg_cer == pytest.approx((0 + 1 / 3) / 2)
-    assert got["raw_no_preprocess"].avg_cer == pytest.approx((1 / 3 + 1 / 3) / 2)
+    """Engines run: preprocessing makes pictures larger and slower to read, layout sets blocks side by side, and a picture without blocks has none."""
+    two = [{"text": "a1", "confidence": 0.5, "bbox": [0, 0, 20, 20]}, {"text": "b", "confidence": 0.7, "bbox": [300, 0, 320, 20]}]
+    png = bytearray(kernels.encode_png(drawn(), {"blocks": json.dumps(two)}))
+    df = spark.createDataFrame([("p.png", png, "a1    b"), ("q.png", png, "a1    c"), ("r.png", png, None), ("s.png", bytearray(b"?"), "z")], "file_name string, content binary, truth string")
+    variants = (*benchmark.DEFAULT, ("flat", False, False, ""))
+    rows = benchmark.run(spark, df, variants)
+    assert {(r.config, r.file_name): (r.confidence, r.cer) for r in rows.collect() if r.config != "flat"} == {(c, n): v for c in ("baseline_with_preprocess", "raw_no_preprocess") for n, v in (("p.png", (0.6, 0)), ("q.png", (0.6, 1 / 7)), ("r.png", (0.6, -1)), ("s.png", (0, 1)))}
+    got = {r.config: r for r in benchmark.summarise(rows).collect()}
+    assert got["baseline_with_preprocess"].n == 4 and got["flat"].avg_cer == pytest.approx((4 / 7 + 5 / 7 + 1) / 3)
+    assert got["baseline_with_preprocess"].avg_latency > got["raw_no_preprocess"].avg_latency > 0
     none = benchmark.summarise(benchmark.run(spark, df.where("truth is null"))).first()
     assert (none.avg_cer, none.avg_wer) == (-1, -1)
 
@@ -353,8 +359,93 @@ def test_service(spark, tmp_path):
     before = service.events().count()
     service.drain()  # nothing new: nothing happens
     assert service.events().count() == before
-    service.clean_up()
-    assert not (tmp_path / "intermediate").exists() and (tmp_path / "inputs").exists()
+    job = got["done"].job_id
+    own = {r.path.rpartition("/")[2] for r in service.objects.listing("invoices").collect() if f"/{job}/" in r.path}
+    assert own == {"input.png", "final_output.json"}  # what was in between has gone with the job's end
+    assert json.loads(service.outputs().first().final_output)["job_id"] == job and not list((tmp_path / "intermediate").iterdir())
+
+
+def test_service_begins_again(spark, tmp_path, monkeypatch):
+    """The running service: a worker that fails is started again, silent jobs are reaped, and stop ends all."""
+    import threading
+
+    from inkspan.streaming import workers
+
+    blocks = [{"text": t, "confidence": 0.8, "bbox": [10, 30 * k, 200, 30 * k + 20]} for k, t in enumerate(["Invoice no: R7", "Date of issue: 2031-04-09", "Total net worth: 5,00"])]
+    png = bytearray(kernels.encode_png(drawn(), {"blocks": json.dumps(blocks)}))
+    service = workers.Service(spark, str(tmp_path), workers.Settings(preprocess=False))
+    service.submit(spark.createDataFrame([("a.png", png, None)], "filename string, content binary, ground_truth string"), "t", "1")
+    once, calls = service._process, []
+
+    def fails_first(batch, number):
+        calls.append(number)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        once(batch, number)
+
+    monkeypatch.setattr(service, "_process", fails_first)
+    stop = threading.Event()
+    worker = threading.Thread(target=service.run, args=(stop, 1000))
+    worker.start()
+    until = time.time() + 60
+    while time.time() < until and service.jobs().first().status != "done":
+        time.sleep(0.5)
+    stop.set()
+    worker.join()
+    assert service.jobs().first().status == "done" and len(calls) >= 2 and calls[0] == calls[1]
+
+
+def test_reap(spark, tmp_path):
+    from inkspan.schemas import JOB_EVENT
+    from inkspan.streaming.workers import Service
+    from inkspan.streaming.topics import INTAKE
+    from inkspan.schemas import INGESTED
+
+    service = Service(spark, str(tmp_path))
+    old = F.current_timestamp() - F.expr("interval 10 minutes")
+    rows = [("a", "ocr_processing", 0), ("b", "extracting", 3), ("c", "queued", 0), ("d", "done", 0)]
+    made = spark.createDataFrame(rows, "job_id string, status string, retry_count int")
+    given = {"job_id": F.col("job_id"), "seq": F.lit(1), "at": old, "status": F.col("status"), "retry_count": F.col("retry_count"), "tenant_id": F.lit("t"), "input_file_path": F.lit("b/k")}
+    service._log(made.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOB_EVENT.fields)), "1")
+    assert service.reap("1") == 2 and service.reap("2") == 0
+    assert [(r.job_id, r.retry_count) for r in service.topics.read(INTAKE, INGESTED).collect()] == [("a", 1)]
+    assert {r.job_id: (r.status, r.retry_count) for r in service.jobs().collect()} == {"a": ("ocr_processing", 1), "b": ("failed", 3), "c": ("queued", 0), "d": ("done", 0)}
+
+
+def test_dataset_inline_or_behind(spark, tmp_path):
+    from inkspan.streaming.workers import Service
+
+    spark.range(8).selectExpr("cast(cast(id as string) as binary) as image", "concat('d', id) as id").coalesce(1).write.parquet(f"{tmp_path}/d/test")
+    service = Service(spark, f"{tmp_path}/s")
+    assert service.submit_dataset(f"{tmp_path}/d", "t", "few", limit=2) == 2 and service.jobs().count() == 2
+    assert service.submit_dataset(f"{tmp_path}/d", "t", "many", limit=6) == 0
+    service.wait()
+    assert service.jobs().count() == 6
+
+
+def test_tenants_and_status(spark):
+    assert jobs.tenant_of(jobs.seed_tenants(spark)).endswith("1")
+    with pytest.raises(LookupError):
+        jobs.tenant_of(jobs.seed_tenants(spark), "nobody")
+    row = spark.createDataFrame([("j", "done")], "job_id string, status string").withColumns({c: F.lit(None).cast("string") for c in jobs.STATUS if c not in ("job_id", "status")})
+    assert list(jobs.status_of(row, "j")) == list(jobs.STATUS) and jobs.status_of(row, "k") is None
+
+
+def test_regions_by_model(spark):
+    with pytest.raises(ValueError):
+        engines.layout_model("other")
+    region = {"bbox": [0, 90, 300, 160], "label": "table", "confidence": 0.9}
+    png = bytearray(kernels.encode_png(drawn(), {"regions": json.dumps([region])}))
+    df = spark.createDataFrame([(1, png), (2, bytearray(b"?")), (3, None)], "i int, processed binary")
+    got = {r.i: [x.asDict() for x in r.layout_regions] for r in engines.find_regions(df, "Embedded").collect()}
+    assert got == {1: [region], 2: [], 3: []}
+
+
+def test_older_results(spark):
+    lines = '[[[[[10.9, 5], [90, 5], [90, 30], [10, 30]], ["Total 7", 0.98]], [[[0, 0], [1, 0], [1, 1], [0, 1]], ["x", 1]]], [[[[9, 9], [9, 9], [9, 9], [9, 9]], ["other page", 0.1]]]]'
+    df = spark.createDataFrame([(lines,), ("[]",), ("[null]",), ("no",), (None,)], "raw string").select(layout.blocks_of_lines(F.col("raw")).alias("b"))
+    got = [[tuple(x) for x in r.b] for r in df.collect()]
+    assert got == [[("Total 7", 0.98, [10, 5, 90, 30]), ("x", 1.0, [0, 0, 1, 1])], [], [], [], []]
 
 
 def test_transition_stream(spark, tmp_path):
