@@ -33,6 +33,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM every
 """
 
+#: All pairs of vectors, and what is reachable over them.
+OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) AS top FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT vec_id, list_transform(e, lambda x: x / top) AS e FROM ok),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM s),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) AND CASE WHEN len(a.u) = len(b.u) THEN list_dot_product(a.u, b.u) >= 0.9 END),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM reach r JOIN l ON r.a = l.a),
+n AS (SELECT a, count(*)::BIGINT AS n FROM l GROUP BY a),
+c AS (SELECT a, min(c)::BIGINT AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+#: Every window as its words; a word goes that one covers which is there twice.
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT row, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM r),
+w AS (SELECT row, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (row, i) GROUP BY row),
+n AS (SELECT row, count(*)::BIGINT AS n FROM gone GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (row) LEFT JOIN k USING (row)
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),

@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from inkspan.llm import oracles
 
-    return {"op2_quality_rules": oracles.OP2, "op9_source_mix": oracles.OP9, "op10_pii": oracles.OP10}
+    return {"op2_quality_rules": oracles.OP2, "op7_embedding_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8, "op9_source_mix": oracles.OP9, "op10_pii": oracles.OP10}
