@@ -42,14 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _new_path(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/inkspan/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
 
     def drop() -> None:
         try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already; the folder is then left to its owner
             pass
 
@@ -64,7 +67,17 @@ def stage(df: DataFrame, packed: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = _new_path(spark)
     df.write.option("compression", "uncompressed" if packed else "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame | None) -> None:
+    """Deletes what stage() wrote, once nothing that is still to run reads it. Other DataFrames, and a table that is named twice, are left alone."""
+    for df in staged:
+        path = df.__dict__.pop("_staged_at", None) if df is not None else None
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def stage_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -82,11 +95,11 @@ def partitions_for(df: DataFrame, per_partition: int) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 58:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(20_000, max(8, -(-size // per_partition))))
+    return int(min(100_000, max(8, -(-size // per_partition))))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts can be long: Arrow batches get at most so many rows."""
+    """Whole texts can be long: Arrow batches get at most so many rows. The session keeps the setting, since the plan that needs it runs later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

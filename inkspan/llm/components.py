@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import stage
+from inkspan.llm.common import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,17 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         far = hooked.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hooks = stage(hooked.join(far, "up").select("node", "top"))
-        left, right = (hooks.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in "ab")
+        hooks = stage(hooked.join(far, "up").select("node", F.col("top").alias("component")))
+        left, right = (hooks.select(F.col("node").alias(x), F.col("component").alias(f"top_{x}")) for x in "ab")
         moved = links.join(left, "a").join(right, "b").where("top_a != top_b")
-        links = stage(moved.select(*ordered(F.col("top_a"), F.col("top_b"))).distinct())
+        before, links = links, stage(moved.select(*ordered(F.col("top_a"), F.col("top_b"))).distinct())
+        discard(before, hooked)
         if found is None:
-            found = hooks.select("node", F.col("top").alias("component"))
+            found = hooks
         else:
-            next_up = hooks.select(F.col("node").alias("component"), F.col("top").alias("next_top"))
-            found = stage(found.join(next_up, "component", "left").select("node", F.coalesce("next_top", "component").alias("component")))
+            next_up = hooks.select(F.col("node").alias("component"), F.col("component").alias("next_top"))
+            last, found = found, stage(found.join(next_up, "component", "left").select("node", F.coalesce("next_top", "component").alias("component")))
+            discard(last, hooks)
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import quoted, smallest, stage
+from inkspan.llm.common import discard, quoted, smallest, stage
 from inkspan.llm.components import components
 
 K = 10
@@ -242,6 +242,7 @@ def neighbour_lists(nodes: DataFrame, n: int, k: int, trees: int, rounds: int, c
     merge = lambda df: stage(df.repartition(_tasks(n, 20_000), "node").mapInArrow(partial(_nearest, k=k), _LISTS))
     lists = merge(dealt.repartition(_tasks(n * trees, 20_000), "leaf").mapInArrow(partial(_in_leaf, k=k), _LISTS))
     halves = nodes.select(F.col("node").alias("member"), "half")
+    discard(crowded)
     for _ in range(rounds):
         last = lists.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("last"))
         known = stage(halves.join(last.withColumnRenamed("node", "member"), "member"))
@@ -249,7 +250,8 @@ def neighbour_lists(nodes: DataFrame, n: int, k: int, trees: int, rounds: int, c
         back = lists.select(F.col("other").alias("center"), F.col("node").alias("member"), F.lit(True).alias("back"), "fresh")
         met = forth.unionByName(back).join(known, "member").repartition(_tasks(n, 10_000), "center").mapInArrow(partial(_meet, k=k), _LISTS)
         turned = lists.where("fresh").select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "fresh")
-        lists = merge(lists.withColumn("fresh", F.lit(False)).unionByName(turned).unionByName(met))
+        before, lists = lists, merge(lists.withColumn("fresh", F.lit(False)).unionByName(turned).unionByName(met))
+        discard(before, known)
         changed, every = lists.where(F.col("sim") >= close).agg(F.count_if("fresh"), F.count("*")).first()
         if changed <= SETTLED * every:
             break
@@ -306,7 +308,7 @@ def links_of(nodes: DataFrame, n: int, threshold: float, k: int, trees: int, rou
         return _both_ways(found).join(counts, "b").groupBy(F.col("a").alias("node")).agg(F.sum("many").alias("links")), found
     full = saturated.select(F.col("node").alias("a"))
     beside = _both_ways(lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    links, n_groups = found, -1
+    links, met, n_groups = found, None, -1
     while True:
         inner = links.join(full, "a").join(full.withColumnRenamed("a", "b"), "b")
         members = stage(saturated.join(components(inner.select("a", "b")), "node", "left").select("node", F.coalesce("component", "node").alias("leader")))
@@ -315,9 +317,10 @@ def links_of(nodes: DataFrame, n: int, threshold: float, k: int, trees: int, rou
             break
         if n_groups < 0:
             nearby = _near_groups(nodes, members, threshold, k, trees, rounds)
-        n_groups = now
+        n_groups, before = now, met
         met = _enlarged(nodes, n, members, beside.unionByName(_both_ways(links)), nearby, threshold)
         links = found.unionByName(met.where("kind = 1 and p != q").select(F.col("p").alias("a"), F.col("q").alias("b")))
+        discard(before, members)
     own = met.where("kind = 0").groupBy(F.col("p").alias("node")).agg(F.sum("q").alias("links"))
     rest = _both_ways(found).unionByName(met.where("kind = 2").select(F.col("p").alias("a"), F.col("q").alias("b"))).distinct().join(full, "a", "left_anti")
     other = rest.join(counts, "b").groupBy(F.col("a").alias("node")).agg(F.sum("many").alias("links"))
