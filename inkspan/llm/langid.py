@@ -152,10 +152,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chosen_rows(known: DataFrame, sample: int, languages: int) -> DataFrame:
     """known(id, text, lang): of each of the languages with most rows, the sample rows with the smallest hashes of their ids. The cut is found
     without the texts; ties at it, as of many rows without an id, are ranked too, in each task first."""
-    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    hashed = known.where(F.col("lang").isin(often)).withColumn("hash", F.xxhash64("id"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    hashed = known.where(F.col("lang").isin(*counts)).withColumn("hash", F.xxhash64("id"))
     first = Window.partitionBy("lang").orderBy("hash")
-    cuts = hashed.select("lang", "hash").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("hash").alias("cut")).collect()
+
+    def cut(bounds: dict[str, int]) -> dict[str, tuple[int, int]]:
+        """Of each language, among the hashes up to its bound: the last of the sample's, and how many the sample has."""
+        low = hashed.select("lang", "hash").where(F.col("hash") <= F.coalesce(*(F.when(F.col("lang") == x, n) for x, n in bounds.items())))
+        ranked = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
+        return {r["lang"]: (r["cut"], r["n"]) for r in ranked.groupBy("lang").agg(F.max("hash").alias("cut"), F.count("*").alias("n")).collect()}
+
+    # hashes are even, so twice the sample's share of them is enough to rank, and one task never ranks what every task has; where ids repeat it may not be
+    whole = (1 << 63) - 1
+    found = cut({x: min(whole, -(1 << 63) + (1 << 65) * sample // n) for x, n in counts.items()}) if counts else {}
+    if short := {x: whole for x, n in counts.items() if found.get(x, (0, 0))[1] < min(sample, n)}:
+        found |= cut(short)
+    cuts = [{"lang": x, "cut": c} for x, (c, _) in found.items()]
     if not cuts:
         return known.limit(0)
     below = F.coalesce(*(F.when(F.col("lang") == r["lang"], r["cut"]) for r in cuts))
