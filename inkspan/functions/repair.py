@@ -14,6 +14,8 @@ JOINED = {"Grossworth": "Gross worth", "grossworth": "gross worth", "Networth":
 #: In a text with one of these, in any case, 0Z after any digits is a percent sign; elsewhere after one or two digits.
 TAX_WORDS = ("VAT", "TAX", "IVA", "%")
 LOST = "�"
+#: What a text has that repair_text changes; some that have it stay the same. Each branch begins with plain characters, for speed.
+_BROKEN = rf"(?U){LOST}|(?=[{''.join(sorted({w[0] for w in JOINED}))}])(?:{'|'.join(JOINED)})|\d(?:[Ool]\d|0Z|\s{{2,}}\d)|[Oo]\d+[,.]\d"
 
 
 def repair_text(c: Column) -> Column:
@@ -35,3 +37,10 @@ def repair_text(c: Column) -> Column:
 
     # all that is left to do stands beside a digit
     return let(parted, lambda x: F.when(x.rlike(r"(?U)\d"), digits(x)).otherwise(x))
+
+
+def repair_texts(texts: Column) -> Column:
+    """repair_text of each text of an array. One look at all of them, parted by a character that no pattern matches or counts as a word's, tells whether any can
+    be broken; most pages have none."""
+    broken = lambda t: F.array_join(t, "\0").rlike(_BROKEN)
+    return let(texts, lambda t: F.when(broken(t), F.transform(t, repair_text)).otherwise(t))

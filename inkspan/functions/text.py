@@ -10,6 +10,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Every character that \s matches in (?U).
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip_fast(c: Column) -> Column:
+    """The same as strip, without a pattern: for many short texts."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def squash(c: Column) -> Column:
     """Runs of white space as one blank, ends stripped."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -1,30 +1,42 @@
-"""Reconstruction of a page's layout from its text blocks, in higher-order functions: one array in, one text out.
+"""Reconstruction of a page's layout from its text blocks: texts are stripped and repaired by expressions, rows and text come from numpy kernels in Arrow UDFs.
 
 A block is struct(text, x_min, y_min, x_max, y_max, at), at being its place in the page, which breaks ties."""
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from inkspan.functions.repair import repair_text
-from inkspan.functions.text import strip
+from inkspan.functions import layout_kernels as kernels
+from inkspan.functions.layout_kernels import GAP_SHARE, TABLE_MARGIN
+from inkspan.functions.repair import repair_text, repair_texts
+from inkspan.functions.text import strip_fast
 
 TOLERANCE = 0.5
-#: Rows that open a section, and the share of a table's height that its rows may lie above or below it.
-MARKERS = ("ITEMS", "SUMMARY", "TOTAL")
-TABLE_MARGIN = 0.05
-GAP_SHARE = 0.15
+#: Pages in an Arrow batch at most.
+PAGES = 500
+_REGIONS = "array<struct<label:string,bbox:array<double>>>"
+
+
+def texts(text_blocks: Column, repair: bool = True) -> Column:
+    """The blocks' texts, stripped and repaired; null for a block without text."""
+    stripped = F.transform(F.transform(text_blocks, lambda b: strip_fast(b["text"])), lambda t: F.nullif(t, F.lit("")))
+    return repair_texts(stripped) if repair else stripped
 
 
 def blocks(text_blocks: Column, repair: bool = True) -> Column:
     """Blocks with text, stripped and repaired; a box of fewer than four numbers is all zeros."""
-    placed = F.transform(text_blocks, lambda b, i: F.struct(strip(b["text"]).alias("text"), b["bbox"].alias("bbox"), i.alias("at")))
-    named = lambda b: F.struct((repair_text(b["text"]) if repair else b["text"]).alias("text"), *(F.when(F.size(b["bbox"]) >= 4, F.get(b["bbox"], F.lit(k))).otherwise(0).cast("double").alias(n) for k, n in enumerate(("x_min", "y_min", "x_max", "y_max"))), b["at"].alias("at"))
-    return F.transform(F.filter(placed, lambda b: b["text"] != ""), named)
+    both = F.arrays_zip(texts(text_blocks, repair).alias("text"), text_blocks["bbox"].alias("bbox"))
+    named = lambda b, i: F.struct(b["text"].alias("text"), *(F.when(F.size(b["bbox"]) >= 4, F.get(b["bbox"], F.lit(k))).otherwise(0).cast("double").alias(n) for k, n in enumerate(("x_min", "y_min", "x_max", "y_max"))), i.alias("at"))
+    return F.filter(F.transform(both, named), lambda b: b["text"].isNotNull())
 
 
-_PLACE = "struct<x:double,n:int,k:int>"
 _MIDDLE = "(b.y_min + b.y_max) / 2"
 
 
@@ -33,20 +45,57 @@ def _median(values: str) -> str:
     return f"element_at(transform(array(array_sort({values})), s -> (s[cast(floor((size(s) - 1) / 2) as int)] + s[cast(floor(size(s) / 2) as int)]) / 2), 1)"
 
 
-def rows(of: str = "blocks", tolerance: float = TOLERANCE) -> Column:
-    """array of rows, each an array of blocks from left to right. Blocks go from top to bottom; one joins the row while its middle is near the median of
-    the row's middles, near being a share of the mean height of blocks that have one (20 if none has)."""
-    # only places are sorted and folded, by their natural order: top edge, then place in the page; in a row left edge, then turn
-    sorted_ = f"array_sort(transform({of}, (b, i) -> named_struct('y', b.y_min, 'k', i, 'x', b.x_min, 'm', {_MIDDLE})))"
-    heights = f"transform(filter({of}, b -> b.y_max > b.y_min), b -> b.y_max - b.y_min)"
-    near = f"{tolerance}D * coalesce(aggregate({heights}, 0D, (s, h) -> s + h) / nullif(size({heights}), 0), 20D)"
-    begin = f"named_struct('rows', cast(array() as array<array<{_PLACE}>>), 'row', cast(array() as array<{_PLACE}>), 'middles', cast(array() as array<double>), 'n', 0, 'y', 0D, 'near', {near})"
-    place = "named_struct('x', b.x, 'n', s.n, 'k', b.k)"
-    joined = f"named_struct('rows', s.rows, 'row', concat(s.row, array({place})), 'middles', concat(s.middles, array(b.m)), 'n', s.n + 1, 'y', {_median('concat(s.middles, array(b.m))')}, 'near', s.near)"
-    parted = f"named_struct('rows', case when size(s.row) > 0 then concat(s.rows, array(s.row)) else s.rows end, 'row', array({place}), 'middles', array(b.m), 'n', s.n + 1, 'y', b.m, 'near', s.near)"
-    step = f"(s, b) -> case when size(s.row) > 0 and abs(b.m - s.y) <= s.near then {joined} else {parted} end"
-    end = "s -> case when size(s.row) > 0 then concat(s.rows, array(s.row)) else s.rows end"
-    return F.expr(f"transform(aggregate({sorted_}, {begin}, {step}, {end}), r -> transform(array_sort(r), p -> {of}[p.k]))")
+def _page_ends(lists: pa.Array) -> list[int]:
+    """Where pages begin among the elements of all of them, and the last one's end."""
+    return [0, *np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    """A null is NaN."""
+    return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _few_pages(df: DataFrame) -> None:
+    """Pages can be long. The session keeps the setting, since the plan that needs it runs later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= PAGES:
+        df.sparkSession.conf.set(key, str(PAGES))
+
+
+@cache
+def _rows(tolerance: float):
+    @arrow_udf("array<array<int>>")
+    def rows(x_min: pa.Array, y_min: pa.Array, y_max: pa.Array) -> pa.Array:
+        ends, numbers = _page_ends(x_min), [_numbers(v.flatten()) for v in (x_min, y_min, y_max)]
+        pages = [kernels.rows(*(v[a:b] for v in numbers), tolerance) for a, b in zip(ends, ends[1:])]
+        begins = np.concatenate([[0], *(begins[1:] + a for (_, begins), a in zip(pages, ends))])
+        each = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(np.concatenate([p for p, _ in pages]), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(begins) - 1 for _, begins in pages)]), pa.int32()), each)
+
+    return rows
+
+
+def _corners(boxes: pa.Array) -> np.ndarray:
+    """The first four numbers of each box; a box of fewer is all zeros."""
+    sizes, numbers = pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False), _numbers(boxes.flatten())
+    if (sizes == 4).all():
+        return numbers.reshape(-1, 4)
+    out, whole = np.zeros((len(boxes), 4)), sizes >= 4
+    out[whole] = numbers[(np.cumsum(sizes) - sizes)[whole][:, None] + np.arange(4)]
+    return out
+
+
+@cache
+def _text(tolerance: float):
+    @arrow_udf("string")
+    def text(texts: pa.Array, boxes: pa.Array, regions: pa.Array) -> pa.Array:
+        ends, each, box, out = _page_ends(texts), texts.flatten(), boxes.flatten(), []
+        for page, (a, b) in enumerate(zip(ends, ends[1:])):
+            there = each[a:b].is_valid().to_numpy(zero_copy_only=False)
+            out.append(kernels.page_text(each[a:b].to_numpy(zero_copy_only=False)[there].tolist(), _corners(box[a:b])[there], regions[page].as_py(), tolerance))
+        return pa.array(out, pa.string())
+
+    return text
 
 
 def is_tabular(row: str) -> str:
@@ -63,50 +112,17 @@ def in_table_region(row: str, regions: str) -> str:
 
 
 def with_rows(df: DataFrame, text_blocks: str = "text_blocks", repair: bool = True, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds rows. Each step is a column of its own, so that no expensive expression is written out twice."""
-    return df.withColumn("blocks", blocks(F.col(text_blocks), repair)).withColumn("rows", rows("blocks", tolerance)).drop("blocks")
-
-
-def with_sections(df: DataFrame, regions: str | None = None) -> DataFrame:
-    """Adds sections: array of struct(kind, first, n), rows counted from 0. Two tabular rows in turn open a table, from the first of them, which stays as a
-    text row too; a marker closes an open table, but does not break the turn otherwise; any other row closes it."""
-    kinds = "array_contains(array({}), upper(trim(array_join(transform(r, b -> b.text), ' '))))".format(", ".join(f"'{m}'" for m in MARKERS))
-    of_region = f"({in_table_region('r', f'coalesce({regions}, array())')}) or " if regions else ""
-    flags = f"transform(rows, (r, i) -> named_struct('i', i, 'marker', {kinds}, 'tabular', {of_region}(size(r) >= 2 and {is_tabular('r')})))"
-    kind = "array<struct<kind:string,first:int,n:int>>"
-    close = "case when s.open >= 0 then concat(s.out, array(named_struct('kind', 'table', 'first', s.open, 'n', x.i - s.open))) else s.out end"
-    part = lambda name: f"array(named_struct('kind', '{name}', 'first', x.i, 'n', 1))"
-    state = lambda c, o, out: f"named_struct('turn', {c}, 'open', {o}, 'out', {out})"
-    step = (
-        f"(s, x) -> case when x.marker then {state('case when s.open >= 0 then 0 else s.turn end', '-1', f'concat({close}, {part("marker")})')} "
-        f"when x.tabular and s.open >= 0 then {state('s.turn + 1', 's.open', 's.out')} "
-        f"when x.tabular and s.turn >= 1 then {state('s.turn + 1', 'x.i - s.turn', 's.out')} "
-        f"when x.tabular then {state('s.turn + 1', '-1', f'concat(s.out, {part("text")})')} "
-        f"else {state('0', '-1', f'concat({close}, {part("text")})')} end"
-    )
-    end = "s -> case when s.open >= 0 then concat(s.out, array(named_struct('kind', 'table', 'first', s.open, 'n', size(rows) - s.open))) else s.out end"
-    begin = f"named_struct('turn', 0, 'open', -1, 'out', cast(array() as {kind}))"
-    return df.withColumn("_flags", F.expr(flags)).withColumn("sections", F.expr(f"aggregate(_flags, {begin}, {step}, {end})")).drop("_flags")
-
-
-def with_layout(df: DataFrame, out: str = "raw_text") -> DataFrame:
-    """Adds the text: markers between dashes after a blank line, tables as padded columns with a rule below the first row, other rows with four blanks between blocks."""
-    texts = "transform(slice(rows, s.first + 1, s.n), r -> transform(r, b -> b.text))"
-    row_text = "array_join(transform(rows[s.first], b -> b.text), '{}')"
-    shaped = f"transform(sections, s -> named_struct('kind', s.kind, 'line', case s.kind when 'marker' then concat('\\n--- ', upper(trim({row_text.format(' ')})), ' ---') when 'text' then {row_text.format('    ')} end, 'cells', case when s.kind = 'table' then {texts} end))"
-    filled = "transform(_shaped, s -> named_struct('kind', s.kind, 'line', s.line, 'cells', flatten(transform(array(array_max(transform(s.cells, d -> size(d)))), m -> transform(s.cells, c -> concat(c, array_repeat('', m - size(c))))))))"
-    sized = "transform(_filled, s -> named_struct('kind', s.kind, 'line', s.line, 'cells', s.cells, 'widths', transform(s.cells[0], (x, j) -> array_max(transform(s.cells, c -> length(c[j]))))))"
-    line = "concat('| ', array_join(zip_with(c, s.widths, (x, w) -> rpad(x, w, ' ')), ' | '), ' |')"
-    rule = "concat('|', array_join(transform(s.widths, w -> repeat('-', w + 2)), '|'), '|')"
-    table = f"array_join(flatten(transform(s.cells, (c, k) -> case when k = 0 then array({line}, {rule}) else array({line}) end)), '\\n')"
-    steps = df.withColumn("_shaped", F.expr(shaped)).withColumn("_filled", F.expr(filled)).withColumn("_sized", F.expr(sized))
-    return steps.withColumn(out, F.expr(f"array_join(transform(_sized, s -> case when s.kind = 'table' then {table} else s.line end), '\\n')")).drop("_shaped", "_filled", "_sized")
+    """Adds rows: array of rows, each an array of blocks from left to right."""
+    _few_pages(df)
+    placed = df.withColumn("blocks", blocks(F.col(text_blocks), repair)).withColumn("_rows", _rows(tolerance)("blocks.x_min", "blocks.y_min", "blocks.y_max"))
+    return placed.withColumn("rows", F.expr("if(blocks is null, null, transform(_rows, r -> transform(r, p -> blocks[p])))")).drop("blocks", "_rows")
 
 
 def reconstruct(df: DataFrame, text_blocks: str = "text_blocks", regions: str | None = None, repair: bool = True, tolerance: float = TOLERANCE, out: str = "raw_text") -> DataFrame:
     """Adds the page's text; empty for a page without blocks."""
-    done = with_layout(with_sections(with_rows(df, text_blocks, repair, tolerance), regions), out).drop("rows", "sections")
-    return done.withColumn(out, F.coalesce(out, F.lit("")))
+    _few_pages(df)
+    tables = F.expr(f"transform({regions}, t -> named_struct('label', t.label, 'bbox', cast(t.bbox as array<double>)))") if regions else F.lit(None).cast(_REGIONS)
+    return df.withColumn(out, _text(tolerance)(texts(F.col(text_blocks), repair), F.col(text_blocks)["bbox"], tables))
 
 
 def flat_text(text_blocks: Column, repair: bool = True) -> Column:
